@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lexmill.llm import exact_dedup, mixing, sharding
+from lexmill.llm import decontamination, exact_dedup, mixing, sharding
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE_SQL = {
+    "op2_decontamination": decontamination.SQL_OP2,
     "op4_exact_dedup": exact_dedup.SQL_OP4,
 }
