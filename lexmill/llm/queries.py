@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, exact_dedup, minhash, mixing, sharding
+from lexmill.llm import decontamination, exact_dedup, minhash, mixing, repeats, sharding
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_repeats": repeats.op5_repeats,
     "op10_sharding": sharding.op10_sharding,
 }
 
