@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, exact_dedup, minhash, mixing, repeats, sharding
+from lexmill.llm import decontamination, exact_dedup, minhash, mixing, repeats, sharding, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_repeats": repeats.op5_repeats,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op10_sharding": sharding.op10_sharding,
 }
 
