@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, exact_dedup, html_text, minhash, mixing, repeats, secrets, sharding, toxicity
+from lexmill.llm import decontamination, exact_dedup, html_text, minhash, mixing, ngrams, repeats, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_repeats": repeats.op5_repeats,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_lm_scores": ngrams.op7_lm_scores,
     "op8_html_text": html_text.op8_html_text,
     "op9_secrets": secrets.op9_secrets,
     "op10_sharding": sharding.op10_sharding,
