@@ -10,8 +10,8 @@ with probability equal to the weighted Jaccard similarity, and a document costs
 Signatures agree in a band of ROWS coordinates or more: such documents share a bucket. Exact copies
 (same words) are one representative from the start. Within a bucket every member is compared with a
 leader, the member whose buckets are the most crowded (the source of a group of copies is in all
-its buckets); members unlike their leader choose one of their own, which meets the whole bucket
-again, until none is left, so no pairs within a group are listed. Pairs that the signatures don't
+its buckets); members unlike any leader choose leaders of their own, which meet the whole bucket
+again, until none is left, so a group of copies costs its size, not its pairs. Pairs that the signatures don't
 rule out are checked on the shingles themselves: similarity SIMILAR or more is a link, and classes
 are the connected components of links.
 
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.llm import shared, tokens
@@ -40,6 +41,8 @@ BANDS, ROWS = 26, 5
 K = BANDS * ROWS
 #: Pairs whose signatures agree less than this, four standard errors below the threshold, are not checked.
 MAYBE = 0.66
+#: A bucket's open members choose one leader, then this many, then this many times as many, and so on.
+LEADERS = 6
 CHUNK_BYTES = 4 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -141,13 +144,13 @@ def _check(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _leaders(open_: DataFrame, all_: DataFrame) -> DataFrame:
-    """(u, v): each bucket's leader among its open members, against all of the bucket's members."""
+def _leaders(open_: DataFrame, all_: DataFrame, most: int) -> DataFrame:
+    """(bucket, leader, id): up to `most` leaders of each bucket from its open members, against all of the bucket's members."""
     crowd = open_.groupBy("bucket").agg(F.count("*").alias("n"))
     rank = open_.join(crowd, "bucket").groupBy("id").agg(F.sum("n").alias("p"))
-    lead = open_.join(rank, "id").groupBy("bucket").agg(F.max(F.struct(F.col("p"), (-F.col("id")).alias("less"))).alias("m"))
-    lead = lead.select("bucket", (-F.col("m.less")).alias("leader"))
-    return all_.join(lead, "bucket").select("bucket", "leader", "id")
+    best = W.partitionBy("bucket").orderBy(F.desc("p"), "id")
+    lead = open_.join(rank, "id").withColumn("k", F.row_number().over(best)).where(F.col("k") <= most)
+    return all_.join(lead.select("bucket", F.col("id").alias("leader")), "bucket").select("bucket", "leader", "id")
 
 
 def candidates(signed: DataFrame) -> DataFrame:
@@ -156,9 +159,10 @@ def candidates(signed: DataFrame) -> DataFrame:
     rows = signed.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = shared.written(rows.join(crowded, "bucket"), "buckets")
-    open_, found = members, None
+    open_, found, most = members, None, 1
     while True:
-        met = shared.written(_leaders(open_, members), "leaders")
+        met = shared.written(_leaders(open_, members, most), "leaders")
+        most *= LEADERS
         pairs = met.where("leader <> id").select(F.least("leader", "id").alias("u"), F.greatest("leader", "id").alias("v")).distinct()
         if found is not None:
             pairs = pairs.join(found.select("u", "v"), ["u", "v"], "left_anti")
