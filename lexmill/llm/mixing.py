@@ -113,5 +113,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 17) -> D
     return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
 
 
+def sample(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+
+    Rows with one doc_id, and equal sizes and sources, are alike to the mix: each is taken as often as any of them at most."""
+    times = mix(docs, weights, most, seed).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
+    names = docs.columns
+    rows = docs.withColumn("_size", word_count(F.col("text"))).alias("d")
+    same = (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("d.source").eqNullSafe(F.col("t.source"))) & (F.col("d._size") == F.col("t.size"))
+    taken = rows.join(times.alias("t"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return taken.select(*[F.col(f"d.`{n}`").alias(n) for n in names])
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(shared.read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
