@@ -84,6 +84,9 @@ def test_empty_null_and_postings(spark):
     assert search.find(df, "").count() == 0
     got = search.search(df, "a").orderBy("rank").collect()
     assert [(r.rank, r.title, r.source) for r in got] == [(1, "t", "Unknown"), (2, "u", "s")]
+    many = spark.range(1000).selectExpr("id * 7 AS doc_ord", "'t' AS title", "'s' AS source", "concat('a ', id % 3) AS page_content")
+    a, b_ = (sorted(tuple(r)[:2] for r in search.search(many, "1", many_hits=m).collect()) for m in (False, True))
+    assert a == b_ and len(a) == 333
     assert search.rendered(search.search(df, "c")) == "\n1. u (Source: s)\nSnippet: b c a\n\n"
     found = search.find_by_postings(search.postings(df), "(a AND c) OR zz")
     assert [r.doc_ord for r in found.collect()] == [2]
