@@ -29,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e2 = shared.written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        shared.forget(e)
         before, state = state, _state(e2)
         e = e2
         if state == before:

@@ -8,12 +8,13 @@ bound is doubled for a document with a coordinate left empty. Two signatures agr
 with probability equal to the weighted Jaccard similarity, and a document costs W + K log K.
 
 Signatures agree in a band of ROWS coordinates or more: such documents share a bucket. Exact copies
-(same words) are one representative from the start. Within a bucket every member is compared with a
-leader, the member whose buckets are the most crowded (the source of a group of copies is in all
-its buckets); members unlike any leader choose leaders of their own, which meet the whole bucket
-again, until none is left, so a group of copies costs its size, not its pairs. Pairs that the signatures don't
-rule out are checked on the shingles themselves: similarity SIMILAR or more is a link, and classes
-are the connected components of links.
+(same words) are one representative from the start. Within a bucket every member is compared with
+the leader, the member whose buckets are the most crowded (the source of a group of copies is in
+all its buckets), and with its NEAR next members in the order of their signatures, read from a
+place that differs from bucket to bucket: likeness puts members side by side. A group so costs its
+size, not its pairs, and its links still connect it. Pairs that the signatures don't rule out are
+checked on the shingles themselves: similarity SIMILAR or more is a link, and classes are the
+connected components of links.
 
 Defined cases: a text of fewer than SHINGLE words is one shingle; null and wordless texts, and rows
 with a null doc_id, are classes of their own; rows with the same doc_id are one document; ties go to
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.llm import shared, tokens
@@ -41,9 +41,9 @@ BANDS, ROWS = 26, 5
 K = BANDS * ROWS
 #: Pairs whose signatures agree less than this, four standard errors below the threshold, are not checked.
 MAYBE = 0.66
-#: A bucket's open members choose one leader, then this many, then this many times as many, and so on.
-LEADERS = 6
-CHUNK_BYTES = 4 << 20
+#: Members after it, in a bucket's order, that a member is compared with; coordinates that make the order.
+NEAR, ORDER = 3, 12
+CHUNK_BYTES = (1 << 20) - 4096
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -122,15 +122,45 @@ def _agree(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1))], names=["u", "v", "likeness"])
 
 
+def _order(batches):
+    """A bucket's members by signature, from a place and in steps that the bucket's key gives."""
+    for batch in batches:
+        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, K)
+        bucket = batch.column(0).to_numpy().view(np.uint64)
+        step = (bucket >> np.uint64(8)) % np.uint64(K // 2) * np.uint64(2) + np.uint64(1)
+        at = (bucket[:, None] % np.uint64(K) + step[:, None] * np.arange(ORDER, dtype=np.uint64)) % np.uint64(K)
+        keys = np.take_along_axis(sig, at.astype(np.int64), 1).astype(">u4")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in keys], pa.binary()), batch.column(2)], names=["bucket", "id", "order", "sig"])
+
+
+def _neighbours(batches):
+    """Pairs of a member and the NEAR after it in its bucket whose signatures may mean SIMILAR; rows come in the order of bucket and signature."""
+    bucket, ids, sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, K), np.uint32)
+    for batch in batches:
+        fresh = len(bucket)
+        bucket = np.concatenate((bucket, batch.column(0).to_numpy()))
+        ids = np.concatenate((ids, batch.column(1).to_numpy()))
+        sig = np.concatenate((sig, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, K)))
+        out = []
+        for k in range(1, NEAR + 1):
+            same = (bucket[k:] == bucket[:-k]) & (ids[k:] != ids[:-k]) & (np.arange(k, max(k, len(ids))) >= fresh)
+            same[same] = (sig[k:][same] == sig[:-k][same]).mean(axis=1) >= MAYBE
+            out.append(np.stack((ids[k:][same], ids[:-k][same])))
+        pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+        bucket, ids, sig = bucket[-NEAR:], ids[-NEAR:], sig[-NEAR:]
+
+
 def _sets(batches):
     for batch in batches:
         for part in shared.chunks(batch, "text", CHUNK_BYTES):
             w = tokens.words(*shared.text_buffers(part.column(1)), tokens.WORDS)
             doc, strip = strips(w)
-            order = np.lexsort((strip, doc))
-            doc, low = doc[order], (strip[order] >> np.uint64(32)).astype(np.uint32)
+            low = (strip >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((low, doc))
+            doc, low = doc[order], low[order]
             at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            blobs = [np.sort(low[at[d] : at[d + 1]]).tobytes() for d in range(part.num_rows)]
+            blobs = [low[at[d] : at[d + 1]].tobytes() for d in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["id", "strips"])
 
 
@@ -144,47 +174,38 @@ def _check(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _leaders(open_: DataFrame, all_: DataFrame, most: int) -> DataFrame:
-    """(bucket, leader, id): up to `most` leaders of each bucket from its open members, against all of the bucket's members."""
-    crowd = open_.groupBy("bucket").agg(F.count("*").alias("n"))
-    rank = open_.join(crowd, "bucket").groupBy("id").agg(F.sum("n").alias("p"))
-    best = W.partitionBy("bucket").orderBy(F.desc("p"), "id")
-    lead = open_.join(rank, "id").withColumn("k", F.row_number().over(best)).where(F.col("k") <= most)
-    return all_.join(lead.select("bucket", F.col("id").alias("leader")), "bucket").select("bucket", "leader", "id")
-
-
 def candidates(signed: DataFrame) -> DataFrame:
-    """(u, v): pairs of representatives that share a bucket, by way of its leaders, and whose signatures may mean SIMILAR."""
-    sig = signed.select(F.col("doc_id").alias("id"), "sig")
+    """(u, v): pairs of representatives that share a bucket, its leader's and neighbours', and whose signatures may mean SIMILAR."""
     rows = signed.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = shared.written(rows.join(crowded, "bucket"), "buckets")
-    open_, found, most = members, None, 1
-    while True:
-        met = shared.written(_leaders(open_, members, most), "leaders")
-        most *= LEADERS
-        pairs = met.where("leader <> id").select(F.least("leader", "id").alias("u"), F.greatest("leader", "id").alias("v")).distinct()
-        if found is not None:
-            pairs = pairs.join(found.select("u", "v"), ["u", "v"], "left_anti")
-        both = pairs.join(sig.withColumnsRenamed({"id": "u", "sig": "a"}), "u").join(sig.withColumnsRenamed({"id": "v", "sig": "b"}), "v")
-        like = shared.written(both.select("u", "v", "a", "b").mapInArrow(_agree, "u long, v long, likeness double"), "likeness")
-        found = like if found is None else found.unionByName(like)
-        # Members that are like one of their bucket's leaders, and the leaders, are settled there.
-        key = met.select("bucket", "id", F.least("leader", "id").alias("u"), F.greatest("leader", "id").alias("v"))
-        settled = key.join(found.where(F.col("likeness") >= SIMILAR[0] / SIMILAR[1]), ["u", "v"], "left_semi").select("bucket", "id")
-        settled = settled.unionByName(met.select("bucket", F.col("leader").alias("id"))).distinct()
-        open_ = shared.written(open_.join(settled, ["bucket", "id"], "left_anti"), "open")
-        if open_.isEmpty():
-            return found.where(F.col("likeness") >= MAYBE).select("u", "v")
-
-
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingles, not only their signatures, are SIMILAR."""
-    need = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = docs.join(need, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, strips binary")
-    sets = shared.written(sets.dropDuplicates(["id"]), "strips")
-    both = pairs.join(sets.withColumnsRenamed({"id": "u", "strips": "a"}), "u").join(sets.withColumnsRenamed({"id": "v", "strips": "b"}), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(_check, "u long, v long")
+    crowd = shared.written(members.groupBy("id").agg(F.sum("n").alias("p")), "crowds")
+    sig = shared.written(signed.select(F.col("doc_id").alias("id"), "sig").join(crowd.select("id"), "id", "left_semi"), "signatures")
+    lead = members.join(crowd, "id").groupBy("bucket").agg(F.max(F.struct("p", (-F.col("id")).alias("less"))).alias("m")).select("bucket", (-F.col("m.less")).alias("leader"))
+    star = members.join(lead, "bucket").where("leader <> id").select(F.least("leader", "id").alias("u"), F.greatest("leader", "id").alias("v"))
+    both = star.distinct().join(sig.withColumnsRenamed({"id": "u", "sig": "a"}), "u").join(sig.withColumnsRenamed({"id": "v", "sig": "b"}), "v")
+    star = both.select("u", "v", "a", "b").mapInArrow(_agree, "u long, v long, likeness double").where(F.col("likeness") >= MAYBE).select("u", "v")
+    # Ranges of (bucket, order), not buckets, are dealt to tasks: a hot bucket is split.
+    ordered = members.join(sig, "id").select("bucket", "id", "sig").mapInArrow(_order, "bucket long, id long, `order` binary, sig binary")
+    dealt = ordered.repartitionByRange("bucket", "order").sortWithinPartitions("bucket", "order", "id")
+    near = dealt.select("bucket", "id", "sig").mapInArrow(_neighbours, "u long, v long")
+    out = shared.written(star.unionByName(near).distinct(), "pairs")
+    shared.forget(members, crowd, sig)
+    return out
+
+
+def links(docs: DataFrame, pairs: DataFrame, n_docs: int) -> DataFrame:
+    """The pairs whose shingles, not only their signatures, are SIMILAR.
+
+    Texts are read again, not shuffled; of those that are not asked for, most are filtered out, and the rest find no pair."""
+    need = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    asked = shared.likely_among(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), "doc_id", need, n_docs)
+    sets = shared.written(asked.mapInArrow(_sets, "id long, strips binary"), "strips")
+    once = sets.dropDuplicates(["id"])
+    both = pairs.join(once.withColumnsRenamed({"id": "u", "strips": "a"}), "u").join(once.withColumnsRenamed({"id": "v", "strips": "b"}), "v")
+    out = shared.written(both.select("u", "v", "a", "b").mapInArrow(_check, "u long, v long"), "links")
+    shared.forget(sets)
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -194,11 +215,13 @@ def classes(docs: DataFrame) -> DataFrame:
     copies = shared.written(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "copies")
     reps = signed.join(copies.select(F.col("copy_of").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
     reps = shared.written(reps.select("doc_id", "bands", "sig"), "representatives")
-    found = shared.written(links(docs, shared.written(candidates(reps), "pairs")), "links")
+    pairs = candidates(reps)
+    found = links(docs, pairs, signed.count())
     roots = components(found)
     named = signed.select("doc_id", "digest").distinct().join(copies, "digest")
     named = named.join(roots.withColumnsRenamed({"u": "copy_of", "v": "root"}), "copy_of", "left")
-    named = named.select("doc_id", F.coalesce("root", "copy_of").alias("class_id"))
+    named = shared.written(named.select("doc_id", F.coalesce("root", "copy_of").alias("class_id")), "classes")
+    shared.forget(signed, copies, reps, pairs, found, roots)
     out = docs.select("doc_id").join(named, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return out.withColumn("kept", F.col("class_id").eqNullSafe(F.col("doc_id")))
 

@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +68,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that written() made and nothing reads any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df.stored_at)
+
+
+#: Bits for each row of the filter in likely_among, and its most bits in all (a table of 32 MB).
+FILTER_BITS, MOST_BITS = 16, 1 << 27
+
+
+def likely_among(rows: DataFrame, key: str, among: DataFrame, n_rows: int) -> DataFrame:
+    """The rows whose long key is in `among` (column key), and a few others: wide rows that a join would drop need not be shuffled.
+
+    A bit table of bounded size is broadcast; where it fills up, all rows pass and the join does the work."""
+    size = min(MOST_BITS, 1 << max(10, (n_rows * FILTER_BITS - 1).bit_length()))
+    bit = F.pmod(F.xxhash64(key), F.lit(size))
+    word = F.shiftright(bit, 6)
+    flag = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {size}L) % 64 as int))")
+    table = among.select(word.alias("_word"), flag.alias("_flag")).groupBy("_word").agg(F.bit_or("_flag").alias("_bits"))
+    table = written(table.coalesce(1), "filter")
+    hit = rows.withColumns({"_word": word, "_flag": flag}).join(F.broadcast(table), "_word")
+    return hit.where(F.col("_bits").bitwiseAND(F.col("_flag")) != 0).select(*rows.columns)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
