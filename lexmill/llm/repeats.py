@@ -7,8 +7,8 @@ The text under the other runs is gathered by key (documents never are), reduced
 and each key's strings are suffix-sorted by linear grouping (suffix_sort); neighbours in suffix
 order that agree on LENGTH bytes are the repeats. Spans go back to the documents.
 
-A key with over HOT runs is not gathered: its windows are counted by 128-bit digests, in partial
-sums, which is as exact and has no large group.
+A key with over HOT runs is not gathered: its windows are counted by 128 bits of hash, in partial
+sums, which has no large group.
 
 Equal texts are one text throughout: all of a text that has a copy is removed, and one
 representative stands for it as a source of matches.
@@ -34,8 +34,8 @@ LENGTH = 200
 #: 32 + 16: built from hashes of powers of two.
 GRAM = 48
 HOT = 4096
-CHUNK_BYTES = 1 << 20
-SORT_BYTES = 1 << 20
+CHUNK_BYTES = (1 << 20) - 4096
+SORT_BYTES = 1 << 19
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,6 +137,10 @@ def _prefix(data: np.ndarray) -> np.ndarray:
     return total
 
 
+#: A value of 64 bits for each byte.
+_OTHER = tokens.mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def _hash_at(total: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
     _, inv = tokens.powers(len(total))
     return tokens.mix((total[end] - total[start]) * inv[start] ^ tokens.mix(salt.view(np.uint64) + (end - start).astype(np.uint64)))
@@ -245,13 +249,11 @@ def _repeats(batches):
         found = repeated(key, t, start, n, data, offs)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["t", "a", "z"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
         part = pa.Table.from_batches([batch])
         held = part if held is None else pa.concat_tables([held, part])
         key = held.column(0).to_numpy()
-        if held.nbytes > 4 * SORT_BYTES and key[0] != key[-1]:
+        if held.nbytes > 2 * SORT_BYTES and key[0] != key[-1]:
             stop = int(np.flatnonzero(key != key[-1])[-1]) + 1
             yield from work(held.slice(0, stop))
             held = held.slice(stop).combine_chunks()
@@ -260,17 +262,19 @@ def _repeats(batches):
 
 
 def _windows(batches):
-    """Digests of all windows of hot runs."""
+    """Two hashes of every window of hot runs."""
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for t, start, n, piece in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
-            for i in range(n):
-                d = hashlib.md5(piece[i : i + LENGTH]).digest()
-                out[0].append(int.from_bytes(d[:8], "big", signed=True))
-                out[1].append(int.from_bytes(d[8:], "big", signed=True))
-                out[2].append(t)
-                out[3].append(start + i)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["w1", "w2", "t", "start"])
+        for part in shared.chunks(batch, "piece", CHUNK_BYTES // 4):
+            t, start, n = (part.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
+            data, offs = shared.text_buffers(part.column(4))
+            row = np.repeat(np.arange(len(n)), n)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = offs[row] + inner
+            zero = np.zeros(len(row), np.int64)
+            one = _hash_at(_prefix(data), at, at + LENGTH, zero)
+            # The second is over other values of the bytes, so it does not follow from the first.
+            two = _hash_at(_prefix(_OTHER[data]), at, at + LENGTH, zero)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(t[row]), pa.array(start[row] + inner)], names=["w1", "w2", "t", "start"])
 
 
 def _remove(batches):
@@ -303,23 +307,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     place = F.xxhash64("t", "start")
     keys = runs.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("times"), F.max("many").alias("many"))
     keys = shared.written(keys.where("lo <> hi OR many").select("key", (F.col("times") > HOT).alias("hot")), "run-keys")
-    picked = shared.written(runs.join(keys, "key").distinct(), "picked")
-    body = whole.select("t", "id", "text")
+    # The copies of a text give the same runs: a set by text holds each once, at its representative.
+    picked = runs.join(keys, "key").groupBy("t").agg(
+        F.collect_set(F.when(~F.col("hot"), F.struct("key", "start", "n"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.struct("key", "start", "n"))).alias("hot")
+    )
+    picked = shared.written(picked.join(reps.select("t", "id"), "t"), "picked")
+    body = shared.likely_among(whole.select("t", "id", "text"), "t", picked, texts.count())
 
-    def cut(which: DataFrame) -> DataFrame:
-        lists = which.groupBy("t").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
-        lists = lists.join(reps.select("t", "id"), "t")
+    def cut(which: str) -> DataFrame:
+        lists = picked.where(F.size(which) > 0).select("t", "id", F.col(which).alias("runs"))
         return body.join(lists, ["t", "id"]).select("t", "text", "runs").mapInArrow(_cut, "key long, t long, start int, n int, piece binary")
 
-    cold = cut(picked.where("NOT hot")).repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "t long, a long, z long")
+    cold = cut("cold").repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "t long, a long, z long")
     if not keys.where("hot").isEmpty():
-        digests = shared.written(cut(picked.where("hot")).mapInArrow(_windows, "w1 long, w2 long, t long, start long"), "hot-windows")
+        digests = shared.written(cut("hot").mapInArrow(_windows, "w1 long, w2 long, t long, start long"), "hot-windows")
         twice = digests.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("w1", "w2")
         cold = cold.unionByName(digests.join(twice, ["w1", "w2"]).select("t", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("z")))
     spans = cold.groupBy("t").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     spans = spans.join(reps.where("copies = 1").select("t", "id"), "t")
     done = body.join(spans, ["t", "id"]).select("id", "t", "text", "spans").mapInArrow(_remove, "id long, t long, removed long, spans long, kept string")
     done = shared.written(done, "removed")
+    shared.forget(runs, keys, picked)
     out = texts.join(reps.select("t", "copies"), "t").join(done, ["t", "id"], "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return out.select(
