@@ -29,7 +29,7 @@ WINDOW = 13
 #: A document is contaminated when hits make up at least one in SHARE of its words.
 SHARE = 20
 BLOCK_BYTES = 4 << 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = (1 << 21) - 4096
 
 _STATE = [("_contam_words", T.LongType()), ("_contam_hit", T.LongType()), ("_contam_spans", T.ArrayType(T.LongType())), ("_contam_items", T.ArrayType(T.StringType()))]
 _ARROW = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]

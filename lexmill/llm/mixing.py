@@ -29,6 +29,8 @@ MOST = 3
 BINS = 1024
 #: Cuts by rank: the first fills the target, the others what it leaves.
 CUTS = 4
+#: Most sources whose table is broadcast: some MB.
+FEW_SOURCES = 50_000
 
 
 def word_count(text) -> F.Column:
@@ -64,8 +66,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return s.select("source", "source_size", F.when(free, F.col("first.level") * F.col("w")).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def _cut(pool: DataFrame, budgets: DataFrame) -> DataFrame:
-    """pool with `take`: the first rows of each source by rank whose sizes add up to its budget at most. budgets: source, budget."""
+def _cut(pool: DataFrame, budgets: DataFrame, small) -> DataFrame:
+    """pool with `take`: the first rows of each source by rank whose sizes add up to its budget at most. budgets: source, budget; small: broadcasts a table of sources, where they are few."""
     own = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
     bins = pool.groupBy("source", "bin").agg(F.sum("size").alias("b"))
     bins = bins.withColumn("upto", F.sum("b").over(own)).withColumnRenamed("source", "s")
@@ -73,7 +75,7 @@ def _cut(pool: DataFrame, budgets: DataFrame) -> DataFrame:
     # The bin in which the running total passes the budget; earlier bins are taken whole.
     edge = bins.where(F.col("upto") > F.col("budget")).groupBy("s").agg(F.min(F.struct("bin", (F.col("budget") - F.col("upto") + F.col("b")).alias("rest"))).alias("e"))
     edge = edge.select("s", F.col("e.bin").alias("edge"), F.col("e.rest").alias("rest"))
-    had = pool.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    had = pool.join(small(edge), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     order = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     sure = had.where(F.col("edge").isNull() | (F.col("bin") != F.col("edge"))).withColumn("take", F.col("edge").isNull() | (F.col("bin") < F.col("edge")))
     close = had.where(F.col("bin") == F.col("edge")).withColumn("take", F.sum("size").over(order) <= F.col("rest"))
@@ -88,25 +90,31 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 17) -> D
     goal = goal.withColumn("whole", F.least(F.lit(most), F.floor(ratio)).cast("long"))
     goal = goal.withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size"))
     goal = shared.written(goal.withColumn("chance", F.when(F.col("source_size") > 0, F.col("lack") / F.col("source_size")).otherwise(0.0)), "mix-targets")
+    # A table with a row a source is broadcast if its size, which is known, allows; else adaptive joins split hot sources.
+    few = goal.count() <= FEW_SOURCES
+    small = F.broadcast if few else (lambda table: table)
     named = goal.select(F.col("source").alias("s"), "source_size", "target", "whole", "chance")
-    rows = base.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = base.join(small(named), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     odds = (F.col("u") / (1 - F.col("u"))) * (1 - F.col("chance"))
     # odds of u over odds of inclusion, q, as q / (1 + q): the same order, within (0, 1).
     rank = F.when(F.col("chance") > 0, odds / (odds + F.col("chance"))).otherwise(F.lit(1.0))
     rows = rows.withColumns({"rank": rank, "bin": F.least(F.lit(BINS - 1), F.floor(rank * BINS)).cast("int"), "extra": F.lit(False)})
     budgets = goal.select("source", F.col("lack").alias("budget"))
+    held = base
     for turn in range(CUTS):
         fits = ~F.col("extra") & (F.col("size") > 0) & (F.col("chance") > 0)
         if turn:
             b = budgets.withColumnRenamed("source", "bs")
-            rows = rows.join(b, F.col("source").eqNullSafe(F.col("bs"))).drop("bs")
+            rows = rows.join(small(b), F.col("source").eqNullSafe(F.col("bs"))).drop("bs")
             fits = fits & (F.col("size") <= F.col("budget"))
             rows = rows.withColumn("fits", fits).drop("budget")
         else:
             rows = rows.withColumn("fits", fits)
-        chosen = _cut(rows.where("fits").drop("fits"), budgets)
+        chosen = _cut(rows.where("fits").drop("fits"), budgets, small)
         chosen = chosen.withColumn("extra", F.col("take")).drop("take")
-        rows = shared.written(rows.where("NOT fits").drop("fits").unionByName(chosen), f"mix-cut{turn}")
+        before, rows = held, shared.written(rows.where("NOT fits").drop("fits").unionByName(chosen), f"mix-cut{turn}")
+        held = rows
+        shared.forget(before)
         used = rows.groupBy("source").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("used")).withColumnRenamed("source", "us")
         budgets = goal.join(used, F.col("source").eqNullSafe(F.col("us"))).select("source", (F.col("lack") - F.col("used")).alias("budget"))
     copies = F.col("whole") + F.col("extra").cast("long")

@@ -30,9 +30,9 @@ from lexmill.llm import arrays, shared, tokens
 
 #: Bytes of input for each range of the hash: what one task merges.
 RANGE_BYTES = 8 << 20
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = (1 << 21) - 4096
 #: Tokens that a task counts before it hands them on.
-COUNT_TOKENS = 3_000_000
+COUNT_TOKENS = 2_000_000
 END = np.uint64(0x51AB17E7D0C0FFEE)
 
 _BLOB = "part int, keys binary, counts binary"

@@ -108,7 +108,9 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
         F.xxhash64(text).alias("_text"),
         F.xxhash64("doc_id", F.lit(11)).alias("_row"),
     )
-    out = assign(shared.written(base, "keys"), shards, "size", "_text", "_row")
+    keys = shared.written(base, "keys")
+    out = assign(keys, shards, "size", "_text", "_row")
+    shared.forget(keys)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -37,7 +37,7 @@ BLOCK = 64
 #: Least z-score, and least labelled rows with the term, for a term to be kept.
 LEAST_Z, LEAST_ROWS = 6.0, 4
 STEMS = (4, 5, 6)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (1 << 20) - 4096
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -220,6 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | Non
     vectors = shared.written(train.select("doc_id", "y", "text").mapInArrow(examples, "doc_id long, y double, term array<long>, weight array<double>"), "examples")
     none, none_toxic = vectors.where(F.size("term") == 0).agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     got = vectors.where(F.size("term") > 0).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(EXAMPLES).collect()
+    shared.forget(train, vectors)
     # Examples with like leading terms stand in one block, which keeps the bounds tight.
     got.sort(key=lambda r: (r.term[int(np.argmax(r.weight))], r.doc_id))
     label_ = np.array([r.y for r in got])
