@@ -11,10 +11,12 @@ Signatures agree in a band of ROWS coordinates or more: such documents share a b
 (same words) are one representative from the start. Within a bucket every member is compared with
 the leader, the member whose buckets are the most crowded (the source of a group of copies is in
 all its buckets), and with its NEAR next members in the order of their signatures, read from a
-place that differs from bucket to bucket: likeness puts members side by side. A group so costs its
-size, not its pairs, and its links still connect it. Pairs that the signatures don't rule out are
-checked on the shingles themselves: similarity SIMILAR or more is a link, and classes are the
-connected components of links.
+place that differs from bucket to bucket: likeness puts members side by side. Pairs that the
+signatures don't rule out are checked on the shingles themselves: similarity SIMILAR or more is a
+link. A group so costs its size, not its pairs, where its links connect it. Where they leave a bucket
+in several components, each member outside the largest is compared with all members of the others,
+in blocks of BLOCK by BLOCK, so that no pair of a bucket that could join two components goes unchecked.
+Classes are the connected components of all links.
 
 Defined cases: a text of fewer than SHINGLE words is one shingle; null and wordless texts, and rows
 with a null doc_id, are classes of their own; rows with the same doc_id are one document; ties go to
@@ -43,6 +45,8 @@ K = BANDS * ROWS
 MAYBE = 0.66
 #: Members after it, in a bucket's order, that a member is compared with; coordinates that make the order.
 NEAR, ORDER = 3, 12
+#: Members on either side of a block of pairs, about; pairs whose signatures are compared at a time.
+BLOCK, AT_ONCE = 512, 1 << 14
 CHUNK_BYTES = (1 << 20) - 4096
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -151,6 +155,42 @@ def _neighbours(batches):
         bucket, ids, sig = bucket[-NEAR:], ids[-NEAR:], sig[-NEAR:]
 
 
+def _cross(batches):
+    """Pairs of different components whose signatures may mean SIMILAR, of each block's members of side 0 and of sides 1 and 2; rows come in the order of block and side."""
+
+    def pairs(side, ids, root, sig, edge):
+        held, n = [], 0
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            k = a + int(np.searchsorted(side[a:z], 1))
+            # A few of side 0 at a time: a block's pairs are never all in memory.
+            step = max(1, AT_ONCE // max(z - k, 1))
+            for r in range(a, k, step):
+                r2 = min(r + step, k)
+                x, y = np.nonzero((root[r:r2, None] != root[None, k:z]) & ((side[None, k:z] == 2) | (ids[r:r2, None] < ids[None, k:z])))
+                held.append((x + r, y + k))
+                n += len(x)
+                if n >= AT_ONCE:
+                    yield agreeing(held, ids, sig)
+                    held, n = [], 0
+        if n:
+            yield agreeing(held, ids, sig)
+
+    def agreeing(held, ids, sig):
+        x, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        ok = (sig[x] == sig[y]).mean(axis=1) >= MAYBE
+        both = np.unique(np.sort(np.stack((ids[x[ok]], ids[y[ok]])), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+
+    rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, K), np.uint32)]
+    for batch in batches:
+        new = [batch.column(k).to_numpy() for k in range(4)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, K)]
+        block, *rows = (np.concatenate(x) for x in zip(rest, new, strict=True))
+        edge = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1)) if len(block) else np.zeros(1, np.int64)
+        yield from pairs(*rows, edge)
+        rest = [x[edge[-1] :] for x in (block, *rows)]
+    yield from pairs(*rest[1:], np.array([0, len(rest[0])]))
+
+
 def _sets(batches):
     for batch in batches:
         for part in shared.chunks(batch, "text", CHUNK_BYTES):
@@ -174,8 +214,10 @@ def _check(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """(u, v): pairs of representatives that share a bucket, its leader's and neighbours', and whose signatures may mean SIMILAR."""
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(u, v): pairs of representatives that share a bucket, its leader's and neighbours', and whose signatures may mean SIMILAR.
+
+    With them the tables of the buckets' members and of their signatures."""
     rows = signed.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = shared.written(rows.join(crowded, "bucket"), "buckets")
@@ -190,7 +232,30 @@ def candidates(signed: DataFrame) -> DataFrame:
     dealt = ordered.repartitionByRange("bucket", "order").sortWithinPartitions("bucket", "order", "id")
     near = dealt.select("bucket", "id", "sig").mapInArrow(_neighbours, "u long, v long")
     out = shared.written(star.unionByName(near).distinct(), "pairs")
-    shared.forget(members, crowd, sig)
+    shared.forget(crowd)
+    return out, members, sig
+
+
+def missed(members: DataFrame, sig: DataFrame, found: DataFrame) -> DataFrame:
+    """(u, v): all pairs that share a bucket, are in different components of the links found, and whose signatures may mean SIMILAR."""
+    roots = components(found)
+    # The leader has met both members of a bucket of two.
+    rows = members.where("n > 2").join(roots.withColumnsRenamed({"u": "id", "v": "root"}), "id", "left")
+    rooted = shared.written(rows.select("bucket", "id", F.coalesce("root", "id").alias("root")), "rooted")
+    parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    parts = parts.groupBy("bucket").agg(F.sum("size").alias("n"), F.max(F.struct("size", "root")).alias("most")).where("n > most.size")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    parts = parts.select("bucket", F.col("most.root").alias("most"), blocks(F.col("n") - F.col("most.size")).alias("few"), blocks(F.col("n")).alias("all"))
+    rows = rooted.join(parts, "bucket").join(sig, "id")
+    small = F.col("root") != F.col("most")
+    place = F.xxhash64("id", "bucket")
+    x, y = (F.pmod(place, F.col(k)).cast("int") for k in ("few", "all"))
+    xs, ys = (F.explode(F.sequence(F.lit(0), F.col(k) - 1)) for k in ("few", "all"))
+    probes = rows.where(small).select("bucket", x.alias("x"), ys.alias("y"), F.lit(0).alias("side"), "id", "root", "sig")
+    others = rows.select("bucket", xs.alias("x"), y.alias("y"), F.when(small, 1).otherwise(2).alias("side"), "id", "root", "sig")
+    dealt = probes.unionByName(others).select(F.xxhash64("bucket", "x", "y").alias("block"), "side", "id", "root", "sig").repartition("block").sortWithinPartitions("block", "side")
+    out = shared.written(dealt.mapInArrow(_cross, "u long, v long").distinct(), "missed")
+    shared.forget(rooted, roots)
     return out
 
 
@@ -215,13 +280,16 @@ def classes(docs: DataFrame) -> DataFrame:
     copies = shared.written(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "copies")
     reps = signed.join(copies.select(F.col("copy_of").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
     reps = shared.written(reps.select("doc_id", "bands", "sig"), "representatives")
-    pairs = candidates(reps)
-    found = links(docs, pairs, signed.count())
-    roots = components(found)
+    pairs, members, sig = candidates(reps)
+    n_docs = signed.count()
+    found = links(docs, pairs, n_docs)
+    rest = missed(members, sig, found)
+    late = links(docs, rest, n_docs)
+    roots = components(found.unionByName(late))
     named = signed.select("doc_id", "digest").distinct().join(copies, "digest")
     named = named.join(roots.withColumnsRenamed({"u": "copy_of", "v": "root"}), "copy_of", "left")
     named = shared.written(named.select("doc_id", F.coalesce("root", "copy_of").alias("class_id")), "classes")
-    shared.forget(signed, copies, reps, pairs, found, roots)
+    shared.forget(signed, copies, reps, pairs, members, sig, found, rest, late, roots)
     out = docs.select("doc_id").join(named, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return out.withColumn("kept", F.col("class_id").eqNullSafe(F.col("doc_id")))
 

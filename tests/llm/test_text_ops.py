@@ -93,6 +93,19 @@ def test_minhash_classes(docs, rows, none):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(want.values()) | {None}
 
 
+def test_minhash_joins_copies_of_a_source_not_in_the_table(spark):
+    rng = random.Random(5)
+    source = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(210)]
+    data = []
+    for i in range(300):
+        w = list(source)
+        for k in rng.sample(range(210), 3):
+            w[k] = f"other{rng.randint(0, 10**9)}"
+        data.append((i, " ".join(w)))
+    got = minhash.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {g.doc_id: g.class_id for g in got} == brute_classes(data)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(4)
     common = rng.integers(0, 1 << 62, 300).astype(np.uint64)
