@@ -3,8 +3,8 @@
 A text is scanned for the base kinds. Then every encoded stretch of it is unwrapped to a layer of
 its own: lines with URL escapes, lines with Unicode or character escapes, base64 tokens, and what
 those hold when it is compressed (gzip, zlib, bz2, xz). Each layer is scanned and unwrapped in
-turn until nothing new comes out; a layer that was seen before in the text is not opened again,
-so nests that contain themselves end. Each character of a layer carries the span of the original
+turn until nothing new comes out; a layer that was seen before at the same place of the text is not
+opened again, so nests that contain themselves end. Each character of a layer carries the span of the original
 text it came from, and what is found in a layer is reported by that span.
 
 Defined cases: null and empty texts have no secrets; a stretch that doesn't decode to printable
@@ -21,6 +21,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,13 @@ class Layer:
             return a, z
         return self.starts[a], max(self.ends[a:z])
 
+    def key(self) -> bytes:
+        """A digest of the text and its places."""
+        h = hashlib.sha256(self.text.encode("utf-8", "surrogatepass"))
+        for places in (self.starts, self.ends):
+            h.update(array("q", places or ()).tobytes())
+        return h.digest()
+
     def rewritten(self, a: int, z: int, run: re.Pattern, decode) -> Layer | None:
         """text[a:z] with each match of run decoded in place; None if nothing decodes."""
         out: list[str] = []
@@ -206,12 +214,13 @@ def secrets(text: str) -> tuple[list[Span], list[Span]]:
     """(base, all) spans of a text, each sorted by start, kind and end."""
     top = Layer(text)
     base = scan(text)
-    found, seen, work = set(base), {text}, [top]
+    found, seen, work = set(base), set(), [top]
     while work:
         for layer in unwrap(work.pop()):
-            if layer.text in seen:
+            key = layer.key()
+            if key in seen:
                 continue
-            seen.add(layer.text)
+            seen.add(key)
             work.append(layer)
             for a, kind, z in scan(layer.text):
                 s, e = layer.span(a, z)

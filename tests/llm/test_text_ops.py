@@ -301,6 +301,15 @@ def test_secrets_in_layers():
     assert secrets.secrets("%41" * 3 + " plain %zz \\u12") == ([], [])
 
 
+def test_secrets_in_repeated_layers():
+    token = base64.b64encode(SECRET.encode()).decode()
+    for t in (token, urllib.parse.quote(SECRET), "".join(f"\\u{ord(c):04x}" for c in SECRET)):
+        text = f"{t}\n{t}\nand {t}\n"
+        places = [k for k in range(len(text)) if text.startswith(t, k)]
+        _, all_ = secrets.secrets(text)
+        assert all(any(k <= a < z <= k + len(t) for a, _, z in all_) for k in places), t
+
+
 def test_pages():
     page = (
         "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a>Menu</a></nav><header><h1>Site</h1></header>"
