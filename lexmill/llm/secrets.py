@@ -8,7 +8,7 @@ opened again, so nests that contain themselves end. Each character of a layer ca
 text it came from, and what is found in a layer is reported by that span.
 
 Defined cases: null and empty texts have no secrets; a stretch that doesn't decode to printable
-text is left alone; a compressed stretch is opened up to LAYER_BYTES of output, against bombs;
+text is left alone; a compressed stretch is opened, all its members, up to LAYER_BYTES of output, against bombs;
 rows may repeat; an empty table gives an empty result; other columns are not read.
 """
 
@@ -141,22 +141,36 @@ def _escape(run: str) -> str | None:
         return None
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """The content of compressed bytes, as far as LAYER_BYTES; None if they are not compressed."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, LAYER_BYTES)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, LAYER_BYTES)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, LAYER_BYTES)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, LAYER_BYTES)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
+def _decompressor(raw: bytes):
+    """A new decompressor for what raw begins with, or None."""
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
+def _inflated(raw: bytes) -> bytes | None:
+    """The content of compressed bytes, all members of it, as far as LAYER_BYTES; None if they are not compressed."""
+    out, left = [], LAYER_BYTES
+    while left > 0 and (tool := _decompressor(raw)) is not None:
+        try:
+            part = tool.decompress(raw, left)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            break
+        out.append(part)
+        left -= len(part)
+        if not tool.eof:
+            break
+        # Zeros may fill the space between members.
+        raw = tool.unused_data.lstrip(b"\0")
+    return b"".join(out) if out else None
+
+
 def _plain(raw: bytes) -> str | None:
     try:
         text = raw.decode()

@@ -310,6 +310,12 @@ def test_secrets_in_repeated_layers():
         assert all(any(k <= a < z <= k + len(t) for a, _, z in all_) for k in places), t
 
 
+def test_secrets_in_later_members():
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        token = base64.b64encode(pack(b"one ") + pack(SECRET.encode())).decode()
+        assert (4, 0, 4 + len(token)) in secrets.secrets(f"see {token} end")[1], pack
+
+
 def test_pages():
     page = (
         "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a>Menu</a></nav><header><h1>Site</h1></header>"
