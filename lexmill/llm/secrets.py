@@ -1,14 +1,15 @@
 """Secret scans with a worklist of decoded layers.
 
 A text is scanned for the base kinds. Then every encoded stretch of it is unwrapped to a layer of
-its own: lines with URL escapes, lines with Unicode or character escapes, base64 tokens, and what
+its own: lines with URL escapes, lines with Unicode or character escapes, base64 tokens, wrapped ones too, and what
 those hold when it is compressed (gzip, zlib, bz2, xz). Each layer is scanned and unwrapped in
 turn until nothing new comes out; a layer that was seen before at the same place of the text is not
 opened again, so nests that contain themselves end. Each character of a layer carries the span of the original
 text it came from, and what is found in a layer is reported by that span.
 
-Defined cases: null and empty texts have no secrets; a stretch that doesn't decode to printable
-text is left alone; a compressed stretch is opened, all its members, up to LAYER_BYTES of output, against bombs;
+Defined cases: null and empty texts have no secrets; bytes of a
+layer that are not printable text are NUL, and a layer without 16 printable characters side by side
+is left alone; a compressed stretch is opened, all its members, up to LAYER_BYTES of output, against bombs;
 rows may repeat; an empty table gives an empty result; other columns are not read.
 """
 
@@ -44,7 +45,18 @@ _URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"[^\n]*(?:\\u\{?[0-9A-Fa-f]|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#)[^\n]*")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f�]")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: From what may be the first bytes of gzip, zlib, bz2 or xz, as URL escapes or character escapes write them, to the token's end.
+_URL_PACKED = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)%(?:01|5[eE]|9[cC]|[dD][aA])|(?:x|%78)(?:\^|%5[eE])|BZh|%42%5[aA]%68|%[fF][dD](?:7|%37))(?:%[0-9A-Fa-f]{2}|[!$'()*+,./0-9:;=?@A-Z_a-z~-])*")
+_HEX_PACKED = re.compile(r"(?:\\x1[fF]\\x8[bB]|(?:x|\\x78)(?:\^|\\x(?:01|5[eE]|9[cC]|[dD][aA]))|BZh|\\x42\\x5[aA]\\x68|\\x[fF][dD](?:7|\\x37))(?:\\x[0-9A-Fa-f]{2}|\\[nrt\\'\"]|[^\\\n])*")
+_URL_UNIT = re.compile(r"%([0-9A-Fa-f]{2})()|.", re.S)
+_HEX_UNIT = re.compile(r"\\x([0-9A-Fa-f]{2})|\\([nrt\\'\"])|.", re.S)
+_NAMED = {"n": b"\n", "r": b"\r", "t": b"\t"}
+#: What can't be text: control characters, and bytes that are not UTF-8.
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f�\udc80-\udcff]")
+#: No secret of a base kind, and no stretch that hides one, is shorter.
+_PRINTED = re.compile(r"[^\x00]{16}")
 
 Span = tuple[int, int, int]
 
@@ -119,7 +131,7 @@ class Layer:
 
 def _url(run: str) -> str | None:
     try:
-        return bytes.fromhex(run.replace("%", "")).decode()
+        return _CONTROL.sub("\0", bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"))
     except UnicodeDecodeError:
         return None
 
@@ -134,7 +146,7 @@ def _escape(run: str) -> str | None:
         if run[:2] == "\\U":
             return chr(int(run[2:], 16))
         if run[:2] == "\\x":
-            return bytes.fromhex(run.replace("\\x", "")).decode()
+            return _CONTROL.sub("\0", bytes.fromhex(run.replace("\\x", "")).decode("utf-8", "surrogateescape"))
         code = int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1])
         return chr(code)
     except (ValueError, OverflowError):
@@ -154,9 +166,9 @@ def _decompressor(raw: bytes):
     return None
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """The content of compressed bytes, all members of it, as far as LAYER_BYTES; None if they are not compressed."""
-    out, left = [], LAYER_BYTES
+def _inflated(raw: bytes) -> tuple[bytes, int] | None:
+    """The content of compressed bytes, all members of it, as far as LAYER_BYTES, and how many bytes they are; None if they are not compressed."""
+    out, left, size = [], LAYER_BYTES, len(raw)
     while left > 0 and (tool := _decompressor(raw)) is not None:
         try:
             part = tool.decompress(raw, left)
@@ -165,47 +177,83 @@ def _inflated(raw: bytes) -> bytes | None:
         out.append(part)
         left -= len(part)
         if not tool.eof:
-            break
+            return b"".join(out), size
         # Zeros may fill the space between members.
         raw = tool.unused_data.lstrip(b"\0")
-    return b"".join(out) if out else None
+    return (b"".join(out), size - len(raw)) if out else None
 
 
-def _plain(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and not _CONTROL.search(text) else None
+def _plain(raw: bytes) -> tuple[str, str] | None:
+    """The bytes as characters, a lone one for each that is not UTF-8, and the same with NUL for what isn't text; None if no text is left."""
+    whole = raw.decode("utf-8", "surrogateescape")
+    text = _CONTROL.sub("\0", whole)
+    return (whole, text) if _PRINTED.search(text) else None
+
+
+def _opened(raw: bytes) -> tuple[bytes, int]:
+    """What is in raw when it is compressed, however often, and how many of its bytes were; 0 if it wasn't."""
+    packed, seen = 0, set()
+    while hash(raw) not in seen and (inner := _inflated(raw)) is not None:
+        seen.add(hash(raw))
+        raw, packed = inner[0], packed or inner[1]
+    return raw, packed
+
 
+def _spread(raw: bytes, s: int, e: int) -> Layer | None:
+    """A layer of bytes that stand for one span as a whole."""
+    plain = _plain(raw)
+    return Layer(plain[1], [s] * len(plain[1]), [e] * len(plain[1])) if plain else None
 
-def _unbased(layer: Layer, m: re.Match) -> Layer | None:
-    token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+
+def _unbased(layer: Layer, places: list[int]) -> Layer | None:
+    """The layer in the base64 characters at these places of this one."""
+    token = "".join(map(layer.text.__getitem__, places)).rstrip("=").replace("-", "+").replace("_", "/")
     if len(token) % 4 == 1:
-        return None
+        token = token[:-1]
     try:
         raw = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    s, e = layer.span(m.start(), m.end())
-    packed, opened = False, raw
-    seen = set()
-    while (inner := _inflated(opened)) is not None and hash(opened) not in seen:
-        seen.add(hash(opened))
-        packed, opened = True, inner
-    text = _plain(opened)
-    if text is None:
-        return None
+    opened, packed = _opened(raw)
     if packed:
-        return Layer(text, [s] * len(text), [e] * len(text))
+        return _spread(opened, *layer.span(places[0], places[-1] + 1))
+    plain = _plain(opened)
+    if plain is None:
+        return None
     starts, ends, at = [], [], 0
-    for c in text:
-        size = len(c.encode())
-        p, q = layer.span(m.start() + at * 4 // 3, min(m.end(), m.start() + (at + size) * 4 // 3 + 1))
+    for c in plain[0]:
+        size = len(c.encode("utf-8", "surrogateescape"))
+        p, q = layer.span(places[at * 4 // 3], places[min(len(places), (at + size) * 4 // 3 + 1) - 1] + 1)
         starts.append(p)
         ends.append(q)
         at += size
-    return Layer(text, starts, ends)
+    return Layer(plain[1], starts, ends)
+
+
+def _bodies(m: re.Match):
+    """Places of the characters of base64 that may go on over lines: from each line whose width differs from the one before, lines of one width and a last shorter one."""
+    lines = [(x.start() + m.start(), x.end() + m.start()) for x in _LINE.finditer(m[0])]
+    width = [z - a for a, z in lines]
+    for k in range(len(lines) - 1):
+        # A first line may begin or be cut within the token, so it need not have the width of the others.
+        if k and width[k] == width[k - 1]:
+            continue
+        z = k + 2
+        while z < len(lines) and width[z] == width[k + 1]:
+            z += 1
+        if z < len(lines) and width[z] < width[k + 1]:
+            z += 1
+        yield [i for p, q in lines[k:z] for i in range(p, q)]
+
+
+def _units(m: re.Match, unit: re.Pattern) -> tuple[bytes, list[int]]:
+    """The bytes of a stretch of URL or character escapes, and for each the place where it ends."""
+    out, ends = bytearray(), []
+    for x in unit.finditer(m[0]):
+        new = bytes.fromhex(x[1]) if x[1] else _NAMED.get(x[2], (x[2] or x[0]).encode("utf-8", "surrogatepass"))
+        out += new
+        ends += [m.start() + x.end()] * len(new)
+    return bytes(out), ends
 
 
 def unwrap(layer: Layer):
@@ -219,9 +267,19 @@ def unwrap(layer: Layer):
         for m in _ESCAPED.finditer(text):
             if new := layer.rewritten(m.start(), m.end(), _ESCAPE, _escape):
                 yield new
+    for sign, pattern, unit in (("%", _URL_PACKED, _URL_UNIT), ("\\x", _HEX_PACKED, _HEX_UNIT)):
+        for m in pattern.finditer(text) if sign in text else ():
+            raw, ends = _units(m, unit)
+            opened, packed = _opened(raw)
+            if packed and (new := _spread(opened, *layer.span(m.start(), ends[packed - 1]))):
+                yield new
     for m in _BASE64.finditer(text):
-        if new := _unbased(layer, m):
+        if new := _unbased(layer, range(m.start(), m.end())):
             yield new
+    for m in _WRAPPED.finditer(text):
+        for places in _bodies(m):
+            if new := _unbased(layer, places):
+                yield new
 
 
 def secrets(text: str) -> tuple[list[Span], list[Span]]:

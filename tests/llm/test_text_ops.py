@@ -316,6 +316,17 @@ def test_secrets_in_later_members():
         assert (4, 0, 4 + len(token)) in secrets.secrets(f"see {token} end")[1], pack
 
 
+def test_secrets_in_wrapped_and_partly_printable_layers():
+    body = ("a line that fills the space before; " * 3 + SECRET + " and more of it after").encode()
+    layers = [base64.encodebytes(x).decode() for x in (body, b"x" * 40 + SECRET.encode(), gzip.compress(bytes(range(256)) + body))]
+    layers += [base64.b64encode(x).decode() for x in (b"user\0" + SECRET.encode(), b"\xff\xfe" + SECRET.encode() + b"\x80")]
+    packed = gzip.compress(SECRET.encode())
+    layers += [urllib.parse.quote(packed), "".join(f"%{c:02x}" for c in packed), "".join(f"\\x{c:02x}" for c in packed), repr(packed), urllib.parse.quote(b"\xff" + SECRET.encode())]
+    for t in layers:
+        _, all_ = secrets.secrets(f"see {t} end")
+        assert any(4 <= a < z <= 4 + len(t) for a, k, z in all_ if k == 0), t
+
+
 def test_pages():
     page = (
         "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a>Menu</a></nav><header><h1>Site</h1></header>"
