@@ -70,14 +70,14 @@ _CLOSES = {
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "boiler", "header", "article", "main", "heading")
+    __slots__ = ("tag", "parent", "path", "boiler", "named", "holds", "header", "article", "main", "heading")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str):
         self.tag, self.parent = tag, parent
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.article = tag == "article"
         self.main = tag == "main"
-        boiler = tag in BOILER_TAGS
+        boiler, named = tag in BOILER_TAGS, False
         header = tag == "header"
         if attrs and not attrs.isspace():
             for m in _ATTR.finditer(attrs):
@@ -85,7 +85,7 @@ class Element:
                 value = (m[2] or m[3] or m[4] or "").lower()
                 if name in ("class", "id"):
                     words = set(_WORD.findall(value))
-                    boiler = boiler or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(BOILER_WORDS)) or (tag == "article" and not words.isdisjoint(("comment", "comments", "reply", "ad", "ads", "advert", "related", "promo")))
+                    named = named or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(BOILER_WORDS)) or (tag == "article" and not words.isdisjoint(("comment", "comments", "reply", "ad", "ads", "advert", "related", "promo")))
                     header = header or not words.isdisjoint(HEADER_WORDS)
                 elif name == "role":
                     boiler = boiler or value in BOILER_ROLES
@@ -95,11 +95,26 @@ class Element:
                     self.article = self.article or value == "articlebody"
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                     boiler = True
-        self.boiler = boiler or bool(parent and parent.boiler)
+        self.boiler, self.named, self.holds = boiler, named, frozenset()
+        if (self.main or self.article) and not (boiler or named):
+            e = parent
+            while e is not None:
+                e.holds |= {"main" if self.main else "article"}
+                e = e.parent
         self.header = header or bool(parent and parent.header)
         self.heading = tag in HEADINGS or bool(parent and parent.heading)
 
 
+    def boilerplate(self, spared: frozenset | None) -> bool:
+        """Whether this or an element around it is boilerplate; names don't count on elements that hold one of spared, or at all if it is None."""
+        e = self
+        while e is not None:
+            if e.boiler or (e.named and spared is not None and spared.isdisjoint(e.holds)):
+                return True
+            e = e.parent
+        return False
+
+
 class Block:
     __slots__ = ("element", "text")
 
@@ -132,6 +147,15 @@ def blocks(page: str) -> list[Block]:
                 # Inline boilerplate (a button) has been left out of parts already.
                 found.append(Block(e, text))
 
+    def left_out() -> bool:
+        """Inline boilerplate; that of blocks is decided when the page is known."""
+        for e in reversed(stack):
+            if e.tag in BLOCK:
+                return False
+            if e.boiler or e.named:
+                return True
+        return False
+
     def close(to: int) -> None:
         if any(e.tag in BLOCK for e in stack[to:]):
             end_block()
@@ -141,7 +165,7 @@ def blocks(page: str) -> list[Block]:
     while True:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else len(page)
-        if stop > at and not (stack[-1].boiler and stack[-1].tag not in BLOCK):
+        if stop > at and not left_out():
             parts.append(page[at:stop])
         if m is None:
             break
@@ -212,14 +236,23 @@ def select(found: list[Block]) -> np.ndarray:
     return fused >= min(CUT * float(fused.std()), float(fused.max()))
 
 
-def main_text(page: str | None) -> str:
+def _content(whole: list[Block], spared: frozenset | None) -> list[Block]:
     found = []
-    for b in blocks(page or ""):
-        if b.element.boiler:
+    for b in whole:
+        if b.element.boilerplate(spared):
             continue
         if b.element.header and not (b.element.heading and (b.within("article") or b.within("main"))):
             continue
         found.append(b)
+    return found
+
+
+def main_text(page: str | None) -> str:
+    whole = blocks(page or "")
+    # Names decide, but not against a main element in what is named; where they leave nothing, not against an article, then not at all.
+    for spared in (frozenset(("main",)), frozenset(("main", "article")), None):
+        if found := _content(whole, spared):
+            break
     if not found:
         return ""
     chosen = select(found)

@@ -339,6 +339,13 @@ def test_pages():
     assert [html_text.main_text(x) for x in (None, "", "<p>", "just text", "<article>x")] == ["", "", "", "just text", "x"]
 
 
+def test_pages_in_wrappers_named_like_boilerplate():
+    body = "<p>Hello, world. This is fine.</p><p>More, text; here.</p>"
+    want = "Hello, world. This is fine.\n\nMore, text; here."
+    for page in (f"<div class='content-sidebar-wrap'><main>{body}</main><div class=sidebar>Links</div></div><div>Foot</div>", f"<div id=page class='site has-sidebar'><article>{body}</article></div>", f"<div class=nav-open>{body}</div>"):
+        assert html_text.main_text(page) == want, page
+
+
 def test_pages_query(spark, sf_dir):
     from lexmill.llm import queries
 
