@@ -18,9 +18,13 @@ in several components, each member outside the largest is compared with all memb
 in blocks of BLOCK by BLOCK, so that no pair of a bucket that could join two components goes unchecked.
 Classes are the connected components of all links.
 
+Links within a component change nothing, so leaving them out loses no class.
+
 Defined cases: a text of fewer than SHINGLE words is one shingle; null and wordless texts, and rows
-with a null doc_id, are classes of their own; rows with the same doc_id are one document; ties go to
-the smallest doc_id; an empty table gives an empty result; other columns are not read.
+with a null doc_id, are classes of their own and stay; rows equal in doc_id and words are one document; of
+rows with one doc_id and different words each is judged by its own; of a class the smallest doc_id stays (of
+one doc_id's texts, the one with the least digest); a text is held whole in memory, with some ten times its
+bytes beside it; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 BANDS, ROWS = 26, 5
 K = BANDS * ROWS
-#: Pairs whose signatures agree less than this, four standard errors below the threshold, are not checked.
+#: Pairs whose signatures agree less than this, four standard errors below the threshold, are not checked: one in 30,000 at the threshold, as many as share no bucket.
 MAYBE = 0.66
 #: Members after it, in a bucket's order, that a member is compared with; coordinates that make the order.
 NEAR, ORDER = 3, 12
@@ -102,20 +106,22 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key.view(np.int64)
 
 
+def _names(w: tokens.Words) -> list[str | None]:
+    """A 128-bit digest of each document's words; None without any."""
+    first = w.first
+    return [xxhash.xxh3_128_hexdigest(w.hash[first[d] : first[d + 1]].tobytes()) if w.counts[d] else None for d in range(len(w.counts))]
+
+
 def _sign(batches):
     for batch in batches:
         for part in shared.chunks(batch, "text", CHUNK_BYTES):
             w = tokens.words(*shared.text_buffers(part.column(1)), tokens.WORDS)
             doc, strip = strips(w)
             sig = signatures(doc, strip, part.num_rows)
-            first = w.first
-            has = np.flatnonzero(w.counts > 0)
-            names = [xxhash.xxh3_128_hexdigest(w.hash[first[d] : first[d + 1]].tobytes()) for d in has]
-            keys = band_keys(sig[has])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+            keys = band_keys(sig)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(has)), pa.array(names, pa.string()), lists, pa.array([x.tobytes() for x in sig[has]], pa.binary())],
-                names=["doc_id", "digest", "bands", "sig"],
+                [part.column(0), pa.array(_names(w), pa.string()), lists, pa.array([x.tobytes() for x in sig], pa.binary()), part.column(2)], names=["doc_id", "digest", "bands", "sig", "name"]
             )
 
 
@@ -192,37 +198,38 @@ def _cross(batches):
 
 
 def _sets(batches):
+    """Each text's sorted strips."""
     for batch in batches:
         for part in shared.chunks(batch, "text", CHUNK_BYTES):
             w = tokens.words(*shared.text_buffers(part.column(1)), tokens.WORDS)
             doc, strip = strips(w)
-            low = (strip >> np.uint64(32)).astype(np.uint32)
-            order = np.lexsort((low, doc))
-            doc, low = doc[order], low[order]
+            order = np.lexsort((strip, doc))
+            doc, strip = doc[order], strip[order]
             at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            blobs = [low[at[d] : at[d + 1]].tobytes() for d in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["id", "strips"])
+            blobs = [strip[at[d] : at[d + 1]].tobytes() for d in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_names(w), pa.string()), pa.array(blobs, pa.binary())], names=["doc_id", "digest", "strips"])
 
 
 def _check(batches):
     for batch in batches:
         keep = []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(s.as_py(), np.uint32) for s in (a, b))
-            both = len(np.intersect1d(x, y, assume_unique=True))
+            x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
+            at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+            both = int((y[at] == x).sum()) if len(y) else 0
             keep.append(both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0])
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(u, v): pairs of representatives that share a bucket, its leader's and neighbours', and whose signatures may mean SIMILAR.
+    """(u, v): pairs of representatives, by their numbers, that share a bucket, its leader's and neighbours', and whose signatures may mean SIMILAR.
 
     With them the tables of the buckets' members and of their signatures."""
-    rows = signed.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    rows = signed.select("id", F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = shared.written(rows.join(crowded, "bucket"), "buckets")
     crowd = shared.written(members.groupBy("id").agg(F.sum("n").alias("p")), "crowds")
-    sig = shared.written(signed.select(F.col("doc_id").alias("id"), "sig").join(crowd.select("id"), "id", "left_semi"), "signatures")
+    sig = shared.written(signed.select("id", "sig").join(crowd.select("id"), "id", "left_semi"), "signatures")
     lead = members.join(crowd, "id").groupBy("bucket").agg(F.max(F.struct("p", (-F.col("id")).alias("less"))).alias("m")).select("bucket", (-F.col("m.less")).alias("leader"))
     star = members.join(lead, "bucket").where("leader <> id").select(F.least("leader", "id").alias("u"), F.greatest("leader", "id").alias("v"))
     both = star.distinct().join(sig.withColumnsRenamed({"id": "u", "sig": "a"}), "u").join(sig.withColumnsRenamed({"id": "v", "sig": "b"}), "v")
@@ -259,45 +266,66 @@ def missed(members: DataFrame, sig: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
-def links(docs: DataFrame, pairs: DataFrame, n_docs: int) -> DataFrame:
-    """The pairs whose shingles, not only their signatures, are SIMILAR.
+def links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n_docs: int) -> DataFrame:
+    """The pairs (of representatives' numbers) whose shingles, not only their signatures, are SIMILAR.
 
     Texts are read again, not shuffled; of those that are not asked for, most are filtered out, and the rest find no pair."""
-    need = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    asked = shared.likely_among(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), "doc_id", need, n_docs)
-    sets = shared.written(asked.mapInArrow(_sets, "id long, strips binary"), "strips")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    need = shared.written(reps.select("id", "doc_id", "digest").join(asked, "id"), "asked")
+    rows = shared.likely_among(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), "doc_id", need.select("doc_id"), n_docs)
+    sets = rows.mapInArrow(_sets, f"doc_id {_type(docs)}, digest string, strips binary")
+    sets = shared.written(sets.join(need, ["doc_id", "digest"]).select("id", "strips"), "strips")
     once = sets.dropDuplicates(["id"])
     both = pairs.join(once.withColumnsRenamed({"id": "u", "strips": "a"}), "u").join(once.withColumnsRenamed({"id": "v", "strips": "b"}), "v")
     out = shared.written(both.select("u", "v", "a", "b").mapInArrow(_check, "u long, v long"), "links")
-    shared.forget(sets)
+    shared.forget(sets, need)
     return out
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id) and kept (this document is the one that stays), a row per row of docs."""
+def _type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, name (a hash of the text), class_id (the class's smallest doc_id) and kept (this document is the one that stays), a row per row of docs."""
     docs = docs.select("doc_id", "text")
-    signed = shared.written(docs.where("doc_id IS NOT NULL").mapInArrow(_sign, "doc_id long, digest string, bands array<long>, sig binary"), "signed")
-    copies = shared.written(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "copies")
-    reps = signed.join(copies.select(F.col("copy_of").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    reps = shared.written(reps.select("doc_id", "bands", "sig"), "representatives")
+    named = docs.withColumn("name", F.xxhash64("text"))
+    signed = shared.written(named.mapInArrow(_sign, f"doc_id {_type(docs)}, digest string, bands array<long>, sig binary, name long"), "signed")
+    known = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    # One representative for each text, numbered by its place in the stored table.
+    reps = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    reps = shared.written(reps.withColumn("id", F.monotonically_increasing_id()), "representatives")
     pairs, members, sig = candidates(reps)
     n_docs = signed.count()
-    found = links(docs, pairs, n_docs)
+    found = links(docs, reps, pairs, n_docs)
     rest = missed(members, sig, found)
-    late = links(docs, rest, n_docs)
+    late = links(docs, reps, rest, n_docs)
     roots = components(found.unionByName(late))
-    named = signed.select("doc_id", "digest").distinct().join(copies, "digest")
-    named = named.join(roots.withColumnsRenamed({"u": "copy_of", "v": "root"}), "copy_of", "left")
-    named = shared.written(named.select("doc_id", F.coalesce("root", "copy_of").alias("class_id")), "classes")
-    shared.forget(signed, copies, reps, pairs, members, sig, found, rest, late, roots)
-    out = docs.select("doc_id").join(named, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return out.withColumn("kept", F.col("class_id").eqNullSafe(F.col("doc_id")))
+    rooted = reps.select("id", "digest", "doc_id").join(roots.withColumnsRenamed({"u": "id", "v": "root"}), "id", "left")
+    rooted = shared.written(rooted.select("digest", "doc_id", F.coalesce("root", "id").alias("root")), "rooted-texts")
+    # Classes of one text need no second look.
+    firsts = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    texts = shared.written(rooted.join(firsts, "root").select("digest", F.col("first.doc_id").alias("class_id"), F.col("first.digest").alias("best")), "classes")
+    out = known.select("doc_id", "name", "digest").join(texts, "digest")
+    out = out.select("doc_id", "name", "class_id", (F.col("class_id").eqNullSafe(F.col("doc_id")) & (F.col("best") == F.col("digest"))).alias("kept"))
+    alone = signed.where("doc_id IS NULL OR digest IS NULL").select("doc_id", "name", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    out = shared.written(out.unionByName(alone), "judged")
+    shared.forget(signed, reps, pairs, members, sig, found, rest, late, roots, rooted, texts)
+    return out
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id and kept of judged(); a document is kept if its row is."""
+    return judged(docs).select("doc_id", "class_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without those documents for which another of their class stays."""
-    gone = classes(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without those documents for which another of their class stays; the texts of those that stay don't move if the others are few."""
+    gone = shared.written(judged(docs).where("NOT kept").select("doc_id", "name").distinct(), "near-copies")
+    names = docs.columns
+    id_, name = shared.spare(names, "_id"), shared.spare(names, "_name")
+    rows = docs.withColumns({id_: F.col("doc_id"), name: F.xxhash64("text")})
+    return shared.without(rows, gone.withColumnsRenamed({"doc_id": id_, "name": name}), [id_, name], gone.count()).select(*[F.col(f"`{n}`") for n in names])
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

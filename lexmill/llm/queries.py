@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_decontamination": decontamination.SQL_OP2,
+    "op3_mixing": mixing.SQL_OP3,
     "op4_exact_dedup": exact_dedup.SQL_OP4,
 }

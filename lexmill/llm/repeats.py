@@ -130,20 +130,12 @@ def _cut(batches):
             yield pa.RecordBatch.from_arrays([key, part.column(0).take(pa.array(row)), start, n, pieces.cast(pa.binary())], names=["key", "t", "start", "n", "piece"])
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
-    p, _ = tokens.powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
-    return total
-
-
 #: A value of 64 bits for each byte.
 _OTHER = tokens.mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def _hash_at(total: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    _, inv = tokens.powers(len(total))
-    return tokens.mix((total[end] - total[start]) * inv[start] ^ tokens.mix(salt.view(np.uint64) + (end - start).astype(np.uint64)))
+    return tokens.mix((total[end] - total[start]) * tokens.power(start, True) ^ tokens.mix(salt.view(np.uint64) + (end - start).astype(np.uint64)))
 
 
 def _equal_windows(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,7 +148,7 @@ def _equal_windows(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 def repeated(key: np.ndarray, t: np.ndarray, start: np.ndarray, n: np.ndarray, data: np.ndarray, offs: np.ndarray):
     """(t, from, to) of the bytes under repeated windows; whole keys, rows in the order of key."""
-    total = _prefix(data)
+    total = tokens.prefix(data.astype(np.uint16) + np.uint16(1))
     # Every window of every row, and by hash whether it may occur twice under its key.
     row = np.repeat(np.arange(len(key)), n)
     at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + offs[row]
@@ -271,9 +263,9 @@ def _windows(batches):
             inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             at = offs[row] + inner
             zero = np.zeros(len(row), np.int64)
-            one = _hash_at(_prefix(data), at, at + LENGTH, zero)
+            one = _hash_at(tokens.prefix(data.astype(np.uint16) + np.uint16(1)), at, at + LENGTH, zero)
             # The second is over other values of the bytes, so it does not follow from the first.
-            two = _hash_at(_prefix(_OTHER[data]), at, at + LENGTH, zero)
+            two = _hash_at(tokens.prefix(_OTHER[data]), at, at + LENGTH, zero)
             yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(t[row]), pa.array(start[row] + inner)], names=["w1", "w2", "t", "start"])
 
 

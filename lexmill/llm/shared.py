@@ -92,11 +92,28 @@ def likely_among(rows: DataFrame, key: str, among: DataFrame, n_rows: int) -> Da
     word = F.shiftright(bit, 6)
     flag = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {size}L) % 64 as int))")
     table = among.select(word.alias("_word"), flag.alias("_flag")).groupBy("_word").agg(F.bit_or("_flag").alias("_bits"))
-    table = written(table.coalesce(1), "filter")
+    table = written(table, "filter")
     hit = rows.withColumns({"_word": word, "_flag": flag}).join(F.broadcast(table), "_word")
     return hit.where(F.col("_bits").bitwiseAND(F.col("_flag")) != 0).select(*rows.columns)
 
 
+#: Most keys, of two longs, whose table is broadcast: some tens of MB.
+FEW_KEYS = 1 << 20
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """rows whose keys are not among the n of gone: a broadcast if there are few, so that wide rows stay where they are; else a join that deals them out."""
+    return rows.join(F.broadcast(gone) if n <= FEW_KEYS else gone.hint("merge"), keys, "left_anti")
+
+
+def spare(columns: list[str], name: str) -> str:
+    """name, or a longer one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array without copying; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+_P = 0x9E3779B97F4A7C15 | 1
+#: Powers are kept for places below 1 << BLOCK_BITS; any other is the product of two.
+BLOCK_BITS = 16
+_low: dict[int, np.ndarray] = {}
 
 
 def _table(separators: bytes) -> np.ndarray:
@@ -34,14 +36,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i modulo 2^64 for i < n."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-        _powers = tuple(np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(size - 1, p, np.uint64)))) for p in (_P, inverse))
-    return _powers
+def _power_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i for i below a block, and base^(block * j) for each block of n places."""
+    size = 1 << BLOCK_BITS
+    if base not in _low:
+        _low[base] = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, base, np.uint64))))
+    step = np.uint64(pow(base, size, 1 << 64))
+    return _low[base], np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n >> BLOCK_BITS, step, np.uint64))))
+
+
+def power(places, inverse: bool = False) -> np.ndarray:
+    """P^i (or P^-i) modulo 2^64 for each place i."""
+    places = np.asarray(places, np.int64)
+    low, high = _power_tables(int(places.max(initial=0)), pow(_P, -1, 1 << 64) if inverse else _P)
+    return low[places & ((1 << BLOCK_BITS) - 1)] * high[places >> BLOCK_BITS]
+
+
+def _partial_sums(values: np.ndarray):
+    """(start, sums of values[i] * P^i from 0 up to and with each place) of each block."""
+    low, high = _power_tables(len(values), _P)
+    total = np.uint64(0)
+    for k, start in enumerate(range(0, len(values), 1 << BLOCK_BITS)):
+        part = values[start : start + (1 << BLOCK_BITS)]
+        part = np.cumsum(part * low[: len(part)], dtype=np.uint64) * high[k] + total
+        yield start, part
+        total = part[-1]
+
+
+def prefix_at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sum of values[i] * P^i for i below each place. places rise; memory goes with them and a block, not with the values."""
+    out = np.zeros(len(places), np.uint64)
+    for start, sums in _partial_sums(values):
+        a, z = np.searchsorted(places, (start, start + len(sums)), side="right")
+        out[a:z] = sums[places[a:z] - start - 1]
+    return out
+
+
+def prefix(values: np.ndarray) -> np.ndarray:
+    """prefix_at() for every place from 0 to the end."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    for start, sums in _partial_sums(values):
+        out[start + 1 : start + 1 + len(sums)] = sums
+    return out
 
 
 @dataclass
@@ -73,10 +109,8 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> Words:
     closes[:-1] &= ~inside[1:] | opens[1:]
     start = np.flatnonzero(opens)
     end = np.flatnonzero(closes) + 1
-    p, inv = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mapped * p[: len(data)], out=total[1:])
-    hashed = mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64))
+    del inside, opens, closes
+    hashed = mix((prefix_at(mapped, end) - prefix_at(mapped, start)) * power(start, True) + (end - start).astype(np.uint64))
     counts = np.diff(np.searchsorted(start, offs)) if n_docs else np.zeros(0, np.int64)
     return Words(np.repeat(np.arange(n_docs), counts), start, end, hashed, counts)
 
@@ -88,7 +122,7 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     rolled = np.zeros(n, np.uint64)
     for j in range(size):
-        rolled[: n - j] += w.hash[j:] * powers(size + 1)[0][j + 1]
+        rolled[: n - j] += w.hash[j:] * power(j + 1)
     first = w.first
     place = np.arange(n) - first[w.doc]
     left = w.counts[w.doc] - place

@@ -48,15 +48,13 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every word and stem."""
     w = tokens.words(data, offs, tokens.WORDS)
     docs, hashes = [w.doc], [w.hash]
-    p, inv = tokens.powers(len(data) + 1)
     mapped = tokens.WORDS[data]
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mapped * p[: len(data)], out=total[1:])
     for k in STEMS:
         long = np.flatnonzero(w.end - w.start > k)
         a = w.start[long]
         docs.append(w.doc[long])
-        hashes.append(tokens.mix(((total[a + k] - total[a]) * inv[a]) ^ np.uint64(0x5851F42D4C957F2D * k & 0xFFFFFFFFFFFFFFFF)))
+        stem = (tokens.prefix_at(mapped, a + k) - tokens.prefix_at(mapped, a)) * tokens.power(a, True)
+        hashes.append(tokens.mix(stem ^ np.uint64(0x5851F42D4C957F2D * k & 0xFFFFFFFFFFFFFFFF)))
     return np.concatenate(docs), np.concatenate(hashes)
 
 
