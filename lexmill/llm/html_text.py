@@ -6,7 +6,9 @@ blocks are smoothed, fused by multiplication and cut at half their standard devi
 above it find the content's container (an article or main element that holds most of them, or
 else the deepest element that does), and what the container holds, short paragraphs too, is the
 text. Blocks in navigation, headers, footers, asides, forms, notices, adverts, comments and the
-like, named so by tag, role, class or id, take no part.
+like take no part: tags and roles say so, and a class or id whose every word does, but for words that
+mean nothing here (`related-links`, not `related-work`). Names don't count against an element around
+a main or article element.
 
 Defined cases: null and empty pages, and pages without text, give an empty text; unclosed and
 stray tags are mended by the usual rules; rows may repeat; an empty table gives an empty result;
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ CHUNK_BYTES = 1 << 20
 #: Share of the standard deviation at which the fused series is cut; share of the selected text a container must hold.
 CUT, HOLDS = 0.5, 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PUNCT = re.compile(r"[.,;:!?。，、！？；：…¿¡]")
 _WORD = re.compile(r"[a-z]+|[0-9]+")
@@ -42,7 +45,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html li legend main menu nav ol optgroup option p pre section select summary table "
     "tbody td tfoot th thead tr ul".split()
 )
-BOILER_TAGS = frozenset("nav footer aside form head script style noscript template iframe svg math button select textarea title dialog menu object canvas audio video".split())
+BOILER_TAGS = frozenset("nav footer aside form head script style noscript template iframe svg button select textarea title dialog menu object canvas audio video".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus "
@@ -50,8 +53,16 @@ BOILER_WORDS = frozenset(
     "comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations newsletter "
     "subscribe subscription signup login search pagination pager toolbar widget widgets copyright disclaimer masthead skip".split()
 )
+#: Words that say nothing of what an element holds: beside them a word above names all of it, beside any other it may not.
+PLAIN_WORDS = frozenset(
+    "a the box bar block wrap wrapper container section sections list item items area panel inner outer top bottom left right upper lower main site page global "
+    "primary secondary post entry article user users reader readers form forms link links button buttons icon icons text title small large slot unit group holder "
+    "row col column div in".split()
+)
 #: Words that name a header; one inside an article keeps its headings.
 HEADER_WORDS = frozenset("header topbar".split())
+#: Those that name an article which isn't the page's.
+ARTICLE_WORDS = frozenset("comment comments reply ad ads advert related promo".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: What a start tag ends when it is still open, up to the nearest of the stops.
 _CLOSES = {
@@ -69,6 +80,11 @@ _CLOSES = {
 }
 
 
+@lru_cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I | re.A)
+
+
 class Element:
     __slots__ = ("tag", "parent", "path", "boiler", "named", "holds", "header", "article", "main", "heading")
 
@@ -84,9 +100,11 @@ class Element:
                 name = m[1].lower()
                 value = (m[2] or m[3] or m[4] or "").lower()
                 if name in ("class", "id"):
-                    words = set(_WORD.findall(value))
-                    named = named or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(BOILER_WORDS)) or (tag == "article" and not words.isdisjoint(("comment", "comments", "reply", "ad", "ads", "advert", "related", "promo")))
-                    header = header or not words.isdisjoint(HEADER_WORDS)
+                    for words in map(_WORD.findall, value.split()):
+                        own = [w for w in words if w not in PLAIN_WORDS and not w.isdigit()]
+                        if own and all(w in BOILER_WORDS for w in own) and tag not in ("html", "body", "main"):
+                            named = named or tag != "article" or not ARTICLE_WORDS.isdisjoint(own)
+                        header = header or bool(own) and all(w in HEADER_WORDS for w in own)
                 elif name == "role":
                     boiler = boiler or value in BOILER_ROLES
                     self.article = self.article or value == "article"
@@ -161,7 +179,7 @@ def blocks(page: str) -> list[Block]:
             end_block()
         del stack[to:]
 
-    at, low = 0, None
+    at = 0
     while True:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else len(page)
@@ -204,13 +222,8 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            if end < 0:
-                at = len(page)
-            else:
-                end = page.find(">", end)
-                at = end + 1 if end >= 0 else len(page)
+            end = _raw_end(tag).search(page, at)
+            at = end.end() if end else len(page)
             continue
         stack.append(Element(tag, stack[-1], m[3]))
     end_block()

@@ -9,8 +9,10 @@ text it came from, and what is found in a layer is reported by that span.
 
 Defined cases: null and empty texts have no secrets; bytes of a
 layer that are not printable text are NUL, and a layer without 16 printable characters side by side
-is left alone; a compressed stretch is opened, all its members, up to LAYER_BYTES of output, against bombs;
-rows may repeat; an empty table gives an empty result; other columns are not read.
+is left alone; a compressed stretch is opened to its end, all its members: content over LAYER_BYTES is scanned
+in blocks of that size that overlap by OVERLAP, so a bomb costs time and no memory, and only a nested layer
+longer than the overlap can be missed, at the edge of such a block; a text is held whole in memory, with some
+16 bytes for each character of a layer; time goes with the length of lines; rows may repeat; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,17 +21,19 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
 from array import array
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import shared
 
-LAYER_BYTES = 64 << 20
+LAYER_BYTES, OVERLAP = 16 << 20, 1 << 20
 CHUNK_BYTES = 1 << 20
 
 #: The base patterns and their least lengths.
@@ -40,9 +44,9 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex")
 
 _KEYWORD = ("passw", "secret", "token", "apikey", "api_key")
-_URL = re.compile(r"[^\n]*%[0-9A-Fa-f]{2}[^\n]*")
+_URL = re.compile(r"%[0-9A-Fa-f]{2}")
 _URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPED = re.compile(r"[^\n]*(?:\\u\{?[0-9A-Fa-f]|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#)[^\n]*")
+_ESCAPED = re.compile(r"\\u\{?[0-9A-Fa-f]|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9xX]")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
@@ -74,12 +78,14 @@ def scan(text: str) -> list[Span]:
 
 
 class Layer:
-    """Text with, for each character, the span of the original that it stands for."""
+    """Text with, for each character, the span of the original that it stands for; whole: one span for all of them."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts: array | None = None, ends: array | None = None, whole: tuple[int, int] | None = None):
+        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
 
     def span(self, a: int, z: int) -> tuple[int, int]:
+        if self.whole:
+            return self.whole
         if self.starts is None:
             return a, z
         return self.starts[a], max(self.ends[a:z])
@@ -87,19 +93,20 @@ class Layer:
     def key(self) -> bytes:
         """A digest of the text and its places."""
         h = hashlib.sha256(self.text.encode("utf-8", "surrogatepass"))
-        for places in (self.starts, self.ends):
-            h.update(array("q", places or ()).tobytes())
+        for places in (self.starts, self.ends, self.whole and array("q", self.whole)):
+            h.update(places.tobytes() if places else b"")
         return h.digest()
 
     def rewritten(self, a: int, z: int, run: re.Pattern, decode) -> Layer | None:
         """text[a:z] with each match of run decoded in place; None if nothing decodes."""
         out: list[str] = []
-        starts: list[int] = []
-        ends: list[int] = []
+        starts, ends = array("q"), array("q")
         at, changed = a, False
 
         def keep(p: int, q: int) -> None:
             out.append(self.text[p:q])
+            if self.whole:
+                return
             starts.extend(range(p, q) if self.starts is None else self.starts[p:q])
             ends.extend(range(p + 1, q + 1) if self.ends is None else self.ends[p:q])
 
@@ -111,8 +118,10 @@ class Layer:
                 keep(m.start(), m.end())
                 continue
             changed = True
-            s, e = self.span(m.start(), m.end())
             out.append(new)
+            if self.whole:
+                continue
+            s, e = self.span(m.start(), m.end())
             # A run decodes character by character where its parts are of one width.
             even = len(m[0]) % len(new) == 0 if new else False
             for i in range(len(new)):
@@ -126,7 +135,7 @@ class Layer:
         if not changed:
             return None
         keep(at, z)
-        return Layer("".join(out), starts, ends)
+        return Layer("".join(out), whole=self.whole) if self.whole else Layer("".join(out), starts, ends)
 
 
 def _url(run: str) -> str | None:
@@ -166,21 +175,60 @@ def _decompressor(raw: bytes):
     return None
 
 
-def _inflated(raw: bytes) -> tuple[bytes, int] | None:
-    """The content of compressed bytes, all members of it, as far as LAYER_BYTES, and how many bytes they are; None if they are not compressed."""
-    out, left, size = [], LAYER_BYTES, len(raw)
-    while left > 0 and (tool := _decompressor(raw)) is not None:
-        try:
-            part = tool.decompress(raw, left)
-        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+class _Content:
+    """The content of compressed bytes, all members of it, in blocks; used: how many of the bytes were read so far."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.used = raw, 0
+
+    def __iter__(self):
+        raw = self.raw
+        while (tool := _decompressor(raw)) is not None:
+            data = raw
+            try:
+                while not tool.eof:
+                    part = tool.decompress(data, LAYER_BYTES)
+                    # zlib gives back what it hasn't read; the others keep it.
+                    data = getattr(tool, "unconsumed_tail", b"")
+                    if tool.eof or part:
+                        # Zeros may fill the space between members.
+                        raw = tool.unused_data.lstrip(b"\0") if tool.eof else raw
+                        self.used = len(self.raw) - (len(raw) if tool.eof else 0)
+                        yield part
+                    elif not data and getattr(tool, "needs_input", True):
+                        return
+            except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                return
+
+
+def _opened(raw: bytes) -> tuple[Iterable[bytes], int]:
+    """What is in raw when it is compressed, however often, in blocks; and how many of its bytes were, 0 if it wasn't."""
+    packed, seen = 0, set()
+    while hash(raw) not in seen:
+        content = _Content(raw)
+        blocks = iter(content)
+        held, size = [], 0
+        for part in blocks:
+            held.append(part)
+            size += len(part)
+            if size > LAYER_BYTES:
+                return _overlapping(itertools.chain(held, blocks)), packed or len(raw)
+        if not held:
             break
-        out.append(part)
-        left -= len(part)
-        if not tool.eof:
-            return b"".join(out), size
-        # Zeros may fill the space between members.
-        raw = tool.unused_data.lstrip(b"\0")
-    return (b"".join(out), size - len(raw)) if out else None
+        seen.add(hash(raw))
+        packed = packed or content.used
+        raw = b"".join(held)
+    return [raw], packed
+
+
+def _overlapping(parts: Iterable[bytes]):
+    held = b""
+    for part in parts:
+        held += part
+        if len(held) >= LAYER_BYTES:
+            yield held
+            held = held[-OVERLAP:]
+    yield held
 
 
 def _plain(raw: bytes) -> tuple[str, str] | None:
@@ -190,44 +238,37 @@ def _plain(raw: bytes) -> tuple[str, str] | None:
     return (whole, text) if _PRINTED.search(text) else None
 
 
-def _opened(raw: bytes) -> tuple[bytes, int]:
-    """What is in raw when it is compressed, however often, and how many of its bytes were; 0 if it wasn't."""
-    packed, seen = 0, set()
-    while hash(raw) not in seen and (inner := _inflated(raw)) is not None:
-        seen.add(hash(raw))
-        raw, packed = inner[0], packed or inner[1]
-    return raw, packed
+def _spread(blocks: Iterable[bytes], s: int, e: int):
+    """Layers of bytes that stand for one span as a whole."""
+    for raw in blocks:
+        if plain := _plain(raw):
+            yield Layer(plain[1], whole=(s, e))
 
 
-def _spread(raw: bytes, s: int, e: int) -> Layer | None:
-    """A layer of bytes that stand for one span as a whole."""
-    plain = _plain(raw)
-    return Layer(plain[1], [s] * len(plain[1]), [e] * len(plain[1])) if plain else None
-
-
-def _unbased(layer: Layer, places: list[int]) -> Layer | None:
-    """The layer in the base64 characters at these places of this one."""
-    token = "".join(map(layer.text.__getitem__, places)).rstrip("=").replace("-", "+").replace("_", "/")
+def _unbased(layer: Layer, places) -> Iterable[Layer]:
+    """The layers in the base64 characters at these places of this one."""
+    token = (layer.text[places.start : places.stop] if isinstance(places, range) else "".join(map(layer.text.__getitem__, places))).rstrip("=").replace("-", "+").replace("_", "/")
     if len(token) % 4 == 1:
         token = token[:-1]
     try:
         raw = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
+        return
     opened, packed = _opened(raw)
-    if packed:
-        return _spread(opened, *layer.span(places[0], places[-1] + 1))
-    plain = _plain(opened)
+    if packed or layer.whole:
+        yield from _spread(opened, *layer.span(places[0], places[-1] + 1))
+        return
+    plain = _plain(raw)
     if plain is None:
-        return None
-    starts, ends, at = [], [], 0
+        return
+    starts, ends, at = array("q"), array("q"), 0
     for c in plain[0]:
-        size = len(c.encode("utf-8", "surrogateescape"))
+        size = 1 if c < "\x80" else len(c.encode("utf-8", "surrogateescape"))
         p, q = layer.span(places[at * 4 // 3], places[min(len(places), (at + size) * 4 // 3 + 1) - 1] + 1)
         starts.append(p)
         ends.append(q)
         at += size
-    return Layer(plain[1], starts, ends)
+    yield Layer(plain[1], starts, ends)
 
 
 def _bodies(m: re.Match):
@@ -256,30 +297,38 @@ def _units(m: re.Match, unit: re.Pattern) -> tuple[bytes, list[int]]:
     return bytes(out), ends
 
 
+def _lines_with(text: str, mark: re.Pattern):
+    """Start and end of each line that has the mark: found first, then widened, so a line is read once."""
+    at = 0
+    while m := mark.search(text, at):
+        a, z = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        z = len(text) if z < 0 else z
+        yield a, z
+        at = z
+
+
 def unwrap(layer: Layer):
     """The layers that lie directly in this one."""
     text = layer.text
     if "%" in text:
-        for m in _URL.finditer(text):
-            if new := layer.rewritten(m.start(), m.end(), _URL_RUN, _url):
+        for a, z in _lines_with(text, _URL):
+            if new := layer.rewritten(a, z, _URL_RUN, _url):
                 yield new
     if "\\" in text or "&#" in text:
-        for m in _ESCAPED.finditer(text):
-            if new := layer.rewritten(m.start(), m.end(), _ESCAPE, _escape):
+        for a, z in _lines_with(text, _ESCAPED):
+            if new := layer.rewritten(a, z, _ESCAPE, _escape):
                 yield new
     for sign, pattern, unit in (("%", _URL_PACKED, _URL_UNIT), ("\\x", _HEX_PACKED, _HEX_UNIT)):
         for m in pattern.finditer(text) if sign in text else ():
             raw, ends = _units(m, unit)
             opened, packed = _opened(raw)
-            if packed and (new := _spread(opened, *layer.span(m.start(), ends[packed - 1]))):
-                yield new
+            if packed:
+                yield from _spread(opened, *layer.span(m.start(), ends[packed - 1]))
     for m in _BASE64.finditer(text):
-        if new := _unbased(layer, range(m.start(), m.end())):
-            yield new
+        yield from _unbased(layer, range(m.start(), m.end()))
     for m in _WRAPPED.finditer(text):
         for places in _bodies(m):
-            if new := _unbased(layer, places):
-                yield new
+            yield from _unbased(layer, places)
 
 
 def secrets(text: str) -> tuple[list[Span], list[Span]]:

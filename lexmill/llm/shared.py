@@ -12,7 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between the JVM and Python, which holds 10,000 rows of any size by default.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_BYTES where they are larger, so that memory outside the heap doesn't go with row size."""
+    if int(spark.conf.get(_BATCH, "-1")) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +78,7 @@ def _drop_all() -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage is cut and a lost executor costs no recount."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

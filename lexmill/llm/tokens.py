@@ -63,12 +63,18 @@ def _partial_sums(values: np.ndarray):
         total = part[-1]
 
 
-def prefix_at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Sum of values[i] * P^i for i below each place. places rise; memory goes with them and a block, not with the values."""
-    out = np.zeros(len(places), np.uint64)
+def prefix_at(values: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+    """Sums of values[i] * P^i for i below each place, for each array of rising places; memory goes with them and a block, not with the values."""
+    out = [np.zeros(len(x), np.uint64) for x in places]
+    done = [0] * len(places)
     for start, sums in _partial_sums(values):
-        a, z = np.searchsorted(places, (start, start + len(sums)), side="right")
-        out[a:z] = sums[places[a:z] - start - 1]
+        for k, x in enumerate(places):
+            a = done[k]
+            z = done[k] = a + int(np.searchsorted(x[a : a + 2 * len(sums)], start + len(sums), side="right"))
+            at = x[a:z] - (start + 1)
+            out[k][a:z] = sums[at]
+            if a == 0 and z and x[0] == 0:
+                out[k][: int(np.searchsorted(x[:z], 0, side="right"))] = 0
     return out
 
 
@@ -110,7 +116,8 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> Words:
     start = np.flatnonzero(opens)
     end = np.flatnonzero(closes) + 1
     del inside, opens, closes
-    hashed = mix((prefix_at(mapped, end) - prefix_at(mapped, start)) * power(start, True) + (end - start).astype(np.uint64))
+    upto, before = prefix_at(mapped, end, start)
+    hashed = mix((upto - before) * power(start, True) + (end - start).astype(np.uint64))
     counts = np.diff(np.searchsorted(start, offs)) if n_docs else np.zeros(0, np.int64)
     return Words(np.repeat(np.arange(n_docs), counts), start, end, hashed, counts)
 

@@ -48,12 +48,12 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every word and stem."""
     w = tokens.words(data, offs, tokens.WORDS)
     docs, hashes = [w.doc], [w.hash]
-    mapped = tokens.WORDS[data]
-    for k in STEMS:
-        long = np.flatnonzero(w.end - w.start > k)
-        a = w.start[long]
-        docs.append(w.doc[long])
-        stem = (tokens.prefix_at(mapped, a + k) - tokens.prefix_at(mapped, a)) * tokens.power(a, True)
+    long = [np.flatnonzero(w.end - w.start > k) for k in STEMS]
+    begin = [w.start[x] for x in long]
+    sums = tokens.prefix_at(tokens.WORDS[data], *begin, *[a + k for a, k in zip(begin, STEMS, strict=True)])
+    for i, k in enumerate(STEMS):
+        docs.append(w.doc[long[i]])
+        stem = (sums[len(STEMS) + i] - sums[i]) * tokens.power(begin[i], True)
         hashes.append(tokens.mix(stem ^ np.uint64(0x5851F42D4C957F2D * k & 0xFFFFFFFFFFFFFFFF)))
     return np.concatenate(docs), np.concatenate(hashes)
 
