@@ -3,7 +3,13 @@
 Texts are equal when identical after deleting ASCII white space. The index is a table with one
 row per distinct text, bucketed and sorted by digest: new data is reduced to one row per digest
 (map-side partial aggregation first, so a hot text costs each task one row), anti-joined to the
-index by a sort-merge join that reads the index without a shuffle, and appended.
+index by a sort-merge join that reads the index without a shuffle, and appended. Texts that the index
+has already are appended to a second table of the same buckets, the sightings; a text's group is
+what both tables say, which is a merge by bucket. The number of buckets is stored beside the index, and an
+index is only opened with its own.
+
+A set of documents is dealt to the index in batches, as a corpus arrives: each batch meets what those
+before it have left.
 
 Defined cases: a null text counts as empty; empty texts are equal to one another; of equal texts
 the one with the most code points stays, then the smallest doc_id (a null doc_id comes last);
@@ -24,6 +30,8 @@ from lexmill.llm import shared
 WHITE_SPACE = "\t\n\x0b\x0c\r "
 #: A digest that holds over 1/HOT_SHARE of all rows is joined by broadcast; there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
+#: Batches that a set of documents is dealt to the index in.
+BATCHES = 2
 #: Texts a bucket of a new index, at about 90 bytes each.
 BUCKET_ROWS = 2_000_000
 
@@ -38,65 +46,97 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 class DigestIndex:
     """One row per distinct text: digest, keep_id, chars, group_size; kept at `path`, bucketed and sorted by digest."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 8):
-        """buckets: fixed for the index's life; choose them for about BUCKET_ROWS texts each."""
-        self.spark, self.buckets = spark, buckets
+    COLUMNS = "digest STRING, keep_id BIGINT, chars BIGINT, group_size BIGINT"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        """buckets: fixed for the index's life, and stored with it; choose them for about BUCKET_ROWS texts each (8 if not given)."""
+        self.spark = spark
         self.path = path or shared.new_path(spark, "digest-index")
-        self.table = f"digest_index_{uuid.uuid4().hex}"
-        self.exists = False
-        if path and self._stored():
+        self.exists = bool(path) and self._stored("layout")
+        if self.exists:
+            stored = spark.read.parquet(f"{self.path}/layout").first().buckets
+            if buckets not in (None, stored):
+                raise ValueError(f"the index at {self.path} has {stored} buckets, not {buckets}")
+            buckets = stored
+        elif path and self._stored("texts"):
+            raise ValueError(f"the index at {self.path} has no layout: its first batch was cut short; remove it")
+        self.buckets = buckets or 8
+        name = uuid.uuid4().hex
+        self.tables = {kind: f"digest_{kind}_{name}" for kind in ("texts", "seen")}
+        for kind, table in self.tables.items():
             # A later session mounts what an earlier one wrote; the layout is declared again.
-            self._mount()
-            self.exists = True
-
-    def _mount(self) -> None:
-        self.spark.sql(
-            f"CREATE TABLE {self.table} (digest STRING, keep_id BIGINT, chars BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
-        )
+            spark.sql(
+                f"CREATE TABLE {table} ({self.COLUMNS}) USING parquet "
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{kind}'"
+            )
 
-    def _stored(self) -> bool:
+    def _stored(self, part: str) -> bool:
         jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}/_SUCCESS")
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+        """One row for each text, as it was first met."""
+        return self.spark.table(self.tables["texts"])
+
+    def groups(self) -> DataFrame:
+        """digest, keep_id, group_size over all that was ever added; both tables are bucketed, so nothing is shuffled."""
+        seen = _merged(self.spark.table(self.tables["seen"]), F.sum("group_size")).select("digest", _order().alias("again"), F.col("group_size").alias("more"))
+        every = self.rows().withColumn("first", _order()).hint("merge").join(seen, "digest", "left")
+        # least() passes over what is null: a text that was never met again.
+        return every.select("digest", F.least("first", "again")["id"].alias("keep_id"), (F.col("group_size") + F.coalesce("more", F.lit(0))).alias("group_size"))
+
+    def _append(self, rows: DataFrame, kind: str) -> None:
+        out = rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet")
+        out.mode("append").saveAsTable(self.tables[kind])
 
     def add(self, found: DataFrame) -> DataFrame:
-        """Append the texts of `found` (from digests()) that the index lacks; returns found's groups, new ones flagged."""
-        first = F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-        groups = found.groupBy("digest").agg(first.alias("best"), F.count("*").alias("group_size"))
-        groups = groups.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("chars"), "group_size")
-        new = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti") if self.exists else groups
+        """Append the texts of `found` (from digests()) that the index lacks, which are returned, and the sightings of those it has."""
+        groups = shared.written(_merged(found.withColumn("keep_id", F.col("doc_id")), F.count("*")), "digest-groups")
+        known = self.rows().select("digest")
         # New rows are counted against the index as it was, so they are settled before the append.
-        new = shared.written(new, "new-digests")
-        out = new.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet")
+        new = shared.written(groups.hint("merge").join(known, "digest", "left_anti") if self.exists else groups, "new-digests")
         if self.exists:
-            out.mode("append").saveAsTable(self.table)
-        else:
-            out.option("path", self.path).saveAsTable(self.table)
+            self._append(groups.hint("merge").join(known, "digest", "left_semi"), "seen")
+        self._append(new, "texts")
+        if not self.exists:
+            layout = self.spark.range(1).select(F.lit(self.buckets).alias("buckets"))
+            layout.write.parquet(f"{self.path}/layout")
             self.exists = True
+        shared.forget(groups)
         return new
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row per document with the row that stays for its text; texts the index had before are dropped whole."""
+def _order() -> F.Column:
+    """Most code points first, then the smallest id, null last."""
+    return F.struct((-F.col("chars")).alias("less"), F.col("keep_id").isNull().alias("none"), F.col("keep_id").alias("id"))
+
+
+def _merged(rows: DataFrame, size: F.Column) -> DataFrame:
+    """digest, keep_id, chars, group_size of rows with digest, keep_id and chars."""
+    groups = rows.groupBy("digest").agg(F.min(_order()).alias("best"), size.alias("group_size"))
+    return groups.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("chars"), "group_size")
+
+
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", key: str = "doc_id", batches: int = BATCHES) -> DataFrame:
+    """A row per document with the row that stays for its text, among these and what the index had."""
     spark = docs.sparkSession
-    found = shared.written(digests(docs, text, key), "digests")
+    found = digests(docs, text, key)
+    # All rows, dealt to batches by doc_id.
+    found = shared.written(found.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "digests")
     n = found.count()
     index = index or DigestIndex(spark, buckets=max(8, n // BUCKET_ROWS))
-    index.add(found)
-    kept = index.rows().select("digest", "keep_id", "group_size")
+    for batch in range(batches):
+        index.add(found.where(F.col("batch") == batch))
+    kept = shared.written(index.groups(), "digest-state")
     hot_from = max(2, -(-n // HOT_SHARE))
-    # At most HOT_SHARE rows can reach this size, whatever the input: the broadcast is bounded.
-    hot = kept.where(F.col("group_size") >= hot_from)
+    # The rows of an older index count too, so the hot ones are taken by rank: HOT_SHARE at most, whatever the input.
+    hot = kept.where(F.col("group_size") >= hot_from).orderBy(F.desc("group_size"), "digest").limit(HOT_SHARE)
     names = [r.digest for r in hot.select("digest").collect()]
-    cold = kept.where(F.col("group_size") < hot_from)
     is_hot = F.col("digest").isin(names) if names else F.lit(False)
-    parts = found.where(~is_hot).hint("merge").join(cold, "digest")
+    parts = found.where(~is_hot).hint("merge").join(kept.where(~is_hot), "digest")
     if names:
-        parts = parts.unionByName(found.where(is_hot).join(F.broadcast(hot), "digest"))
+        parts = parts.unionByName(found.where(is_hot).join(F.broadcast(kept.where(is_hot)), "digest"))
     return parts.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
     )

@@ -8,11 +8,14 @@ and each key's strings are suffix-sorted by linear grouping (suffix_sort); neigh
 order that agree on LENGTH bytes are the repeats. Spans go back to the documents.
 
 A key with over HOT runs is not gathered: its windows are counted by 128 bits of hash, in partial
-sums, which has no large group.
+sums, which has no large group. Every window is judged either way, and alike but for two windows of one
+128-bit hash; a string that a key has twice and no other beside needs no sorting.
 
 Equal texts are one text throughout: all of a text that has a copy is removed, and one
 representative stands for it as a source of matches.
 
+Texts are known by 128 bits of their SHA-256, and one is held whole in memory, with some 40 bytes for each of its own.
+
 Defined cases: a null text is empty; a text under LENGTH bytes loses nothing; rows that repeat are
 copies of each other; a null doc_id is a document; an empty table gives an empty result; other
 columns are not read.
@@ -94,22 +97,20 @@ def window_runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH):
 
 
 def _runs(batches):
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for batch in batches:
         for part in shared.chunks(batch, "text", CHUNK_BYTES):
-            ids = part.column(0).to_numpy()
             fresh = []
-            for i, x in enumerate(ids.tolist()):
+            for i, x in enumerate(part.column(0).to_pylist()):
                 if x not in seen:
                     fresh.append(i)
                     seen.add(x)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             # Copies within a task give the same runs again; copies across tasks are met by comparing (text, start).
             part = part.take(pa.array(fresh, pa.int32()))
             doc, start, count, key, many = window_runs(*shared.text_buffers(part.column(1)))
-            t = part.column(0).to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t, pa.int64()), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(many)], names=["key", "t", "start", "n", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(many)], names=["key", "t", "start", "n", "many"])
 
 
 def _cut(batches):
@@ -170,8 +171,11 @@ def repeated(key: np.ndarray, t: np.ndarray, start: np.ndarray, n: np.ndarray, d
     name = _hash_at(total, p_at, p_at + p_len, key[p_row])
     names, first, which, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
     raw = data.tobytes()
-    odd = [i for i in np.flatnonzero(times[which] > 1).tolist() if raw[p_at[i] : p_at[i] + p_len[i]] != raw[p_at[f := first[which[i]]] : p_at[f] + p_len[f]]]
-    assert not odd, "two strings under one 64-bit hash"
+    if any(raw[p_at[i] : p_at[i] + p_len[i]] != raw[p_at[f := first[which[i]]] : p_at[f] + p_len[f]] for i in np.flatnonzero(times[which] > 1).tolist()):
+        # Two strings under one 64-bit hash: they are told apart by what they are.
+        known: dict[tuple[int, bytes], int] = {}
+        name = np.array([known.setdefault((int(key[p_row[i]]), raw[p_at[i] : p_at[i] + p_len[i]]), i) for i in range(len(a))])
+        names, first, which, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
     d_key, d_at, d_len = key[p_row[first]], p_at[first], p_len[first]
     sure = times > 1
     by = np.argsort(d_key, kind="stable")
@@ -229,7 +233,10 @@ def _repeats(batches):
 
     def work(table: pa.Table):
         table = table.combine_chunks()
-        key, t, start, n = (table.column(k).to_numpy().astype(np.int64) for k in range(4))
+        key, start, n = (table.column(k).to_numpy().astype(np.int64) for k in (0, 2, 3))
+        texts = table.column(1).combine_chunks().dictionary_encode()
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        t = texts.indices.to_numpy().astype(np.int64)
         data, offs = shared.text_buffers(table.column(4))
         # A repeated row of the input gives the same run twice: once is enough.
         twice = np.lexsort((start, t, key))
@@ -239,7 +246,7 @@ def _repeats(batches):
             yield from work(table.take(pa.array(keep)))
             return
         found = repeated(key, t, start, n, data, offs)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["t", "a", "z"])
+        yield pa.RecordBatch.from_arrays([texts.dictionary.take(pa.array(found[0], pa.int64())), *[pa.array(x, pa.int64()) for x in found[1:]]], names=["t", "a", "z"])
 
     for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
         part = pa.Table.from_batches([batch])
@@ -257,7 +264,7 @@ def _windows(batches):
     """Two hashes of every window of hot runs."""
     for batch in batches:
         for part in shared.chunks(batch, "piece", CHUNK_BYTES // 4):
-            t, start, n = (part.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
+            start, n = (part.column(k).to_numpy().astype(np.int64) for k in (2, 3))
             data, offs = shared.text_buffers(part.column(4))
             row = np.repeat(np.arange(len(n)), n)
             inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -266,7 +273,7 @@ def _windows(batches):
             one = _hash_at(tokens.prefix(data.astype(np.uint16) + np.uint16(1)), at, at + LENGTH, zero)
             # The second is over other values of the bytes, so it does not follow from the first.
             two = _hash_at(tokens.prefix(_OTHER[data]), at, at + LENGTH, zero)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(t[row]), pa.array(start[row] + inner)], names=["w1", "w2", "t", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column(1).take(pa.array(row)), pa.array(start[row] + inner)], names=["w1", "w2", "t", "start"])
 
 
 def _remove(batches):
@@ -291,11 +298,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # The document that stands for a text; null doc_ids join as any other.
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    whole = docs.select("doc_id", ident.alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # 128 bits of the text's SHA-256 name it.
+    name = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+    whole = docs.select("doc_id", ident.alias("id"), name.alias("t"), text.alias("text"))
     texts = shared.written(whole.select("doc_id", "id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "texts")
     reps = shared.written(texts.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "text-copies")
-    runs = shared.written(whole.select("t", "text").mapInArrow(_runs, "key long, t long, start int, n int, many boolean"), "runs")
+    runs = shared.written(whole.select("t", "text").mapInArrow(_runs, "key long, t binary, start int, n int, many boolean"), "runs")
     place = F.xxhash64("t", "start")
     keys = runs.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("times"), F.max("many").alias("many"))
     keys = shared.written(keys.where("lo <> hi OR many").select("key", (F.col("times") > HOT).alias("hot")), "run-keys")
@@ -308,16 +317,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(which: str) -> DataFrame:
         lists = picked.where(F.size(which) > 0).select("t", "id", F.col(which).alias("runs"))
-        return body.join(lists, ["t", "id"]).select("t", "text", "runs").mapInArrow(_cut, "key long, t long, start int, n int, piece binary")
+        return body.join(lists, ["t", "id"]).select("t", "text", "runs").mapInArrow(_cut, "key long, t binary, start int, n int, piece binary")
 
-    cold = cut("cold").repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "t long, a long, z long")
+    cold = cut("cold").repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "t binary, a long, z long")
     if not keys.where("hot").isEmpty():
-        digests = shared.written(cut("hot").mapInArrow(_windows, "w1 long, w2 long, t long, start long"), "hot-windows")
+        digests = shared.written(cut("hot").mapInArrow(_windows, "w1 long, w2 long, t binary, start long"), "hot-windows")
         twice = digests.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("w1", "w2")
         cold = cold.unionByName(digests.join(twice, ["w1", "w2"]).select("t", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("z")))
     spans = cold.groupBy("t").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     spans = spans.join(reps.where("copies = 1").select("t", "id"), "t")
-    done = body.join(spans, ["t", "id"]).select("id", "t", "text", "spans").mapInArrow(_remove, "id long, t long, removed long, spans long, kept string")
+    done = body.join(spans, ["t", "id"]).select("id", "t", "text", "spans").mapInArrow(_remove, "id string, t binary, removed long, spans long, kept string")
     done = shared.written(done, "removed")
     shared.forget(runs, keys, picked)
     out = texts.join(reps.select("t", "copies"), "t").join(done, ["t", "id"], "left")

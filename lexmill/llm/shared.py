@@ -18,8 +18,8 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_BYTES where they are larger, so that memory outside the heap doesn't go with row size."""
-    if int(spark.conf.get(_BATCH, "-1")) not in range(1, BATCH_BYTES + 1):
+    """Holds the session's Arrow batches to BATCH_BYTES, unless it has a size of its own: memory outside the heap doesn't go with row size."""
+    if _BATCH not in spark.conf.getAll:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 

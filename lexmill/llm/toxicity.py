@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples: TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their beginnings of 4, 5 and 6 bytes (stems, for inflected forms). From at most
-TRAIN_ROWS labelled rows, drawn by a hash of doc_id, the terms that go with the label are kept (at
-most TERMS, by the z-score of their rates); rows that have any of them are the examples (at most
-EXAMPLES). A document's K nearest examples by exact cosine are found by taking blocks of postings
+Terms are words and their beginnings of 4, 5 and 6 bytes (stems, for inflected forms). From about
+TRAIN_ROWS labelled rows, drawn by a hash of doc_id, the terms that go with the label are kept (a
+z-score of their rates of LEAST_Z or more); their document frequencies are counted over all documents. Rows
+that have any of them are the examples (at most EXAMPLES). A document's K nearest examples by exact cosine are found by taking blocks of postings
 in the order of their upper bounds, until no block left can hold a nearer one. They vote by their
 cosine; the vote is turned into a rate by isotonic regression on the examples' own leave-one-out
 votes. A document with no kept term scores the rate of the labelled rows that have none.
@@ -11,10 +11,10 @@ votes. A document with no kept term scores the rate of the labelled rows that ha
 Labels are looked up by doc_id for training only; no score has label, language, source or doc_id
 as an input.
 
-Defined cases: null and wordless texts have no term; rows whose label is null don't train, and
+Defined cases: a null doc_id is dealt to a fold as the text "null"; null and wordless texts have no term; rows whose label is null don't train, and
 labels that differ for one doc_id are averaged; without labelled rows every score is 0; rows may
 repeat; an empty table gives an empty result; other columns pass through unread (names beginning
-with _tox_ are taken).
+with _tox_ must be free: a clash is an error before any work).
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 from lexmill.llm import shared, tokens
 
 TRAIN_ROWS = 20_000
-TERMS = 2048
 EXAMPLES = 4096
 K = 15
 BLOCK = 64
@@ -41,7 +40,7 @@ CHUNK_BYTES = (1 << 20) - 4096
 
 
 def held_out(doc_id: F.Column) -> F.Column:
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 5 == 0
 
 
 def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +185,26 @@ class Model:
         return out, evidence
 
 
+def _idf(docs: DataFrame, hashes: np.ndarray) -> np.ndarray:
+    """Inverse document frequency of each term over all documents: one row a task and term is handed on."""
+    plain = Vocabulary(hashes, np.ones(len(hashes)))
+
+    def count(batches):
+        n, times = 0, np.zeros(len(hashes), np.int64)
+        for batch in batches:
+            for part in shared.chunks(batch, "text", CHUNK_BYTES):
+                _, term, _ = plain.vectors(*shared.text_buffers(part.column(0)))
+                times += np.bincount(term, minlength=len(hashes))
+                n += part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(hashes))), pa.array(np.concatenate(([n], times)))], names=["term", "n"])
+
+    got = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    n = {r.term: r.n for r in got}
+    # The vocabulary is sorted by hash; what is returned has the order given.
+    rank = np.argsort(np.argsort(hashes))
+    return np.array([math.log((1 + n.get(-1, 0)) / (1 + n.get(int(k), 0))) + 1 for k in rank])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | None:
     """The model from labelled documents that are not held out; None without any."""
     spark = docs.sparkSession
@@ -203,9 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | Non
     rate = toxic / rows
     # Rate of the label among rows with the term against its rate overall, in standard errors.
     z = (F.col("y") - F.col("n") * F.lit(rate)) / F.sqrt(F.col("n") * F.lit(max(rate * (1 - rate), 1e-9)) * (1 - F.col("n") / F.lit(rows + 1)))
-    kept = found.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("y") >= LEAST_ROWS)).orderBy(F.desc("z"), "term").limit(TERMS).toPandas()
-    idf = np.log((1 + rows) / (1 + kept["n"].to_numpy())) + 1
-    vocabulary = Vocabulary(kept["term"].to_numpy(np.int64).view(np.uint64), idf)
+    kept = found.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("y") >= LEAST_ROWS)).select("term").toPandas()
+    hashes = kept["term"].to_numpy(np.int64).view(np.uint64)
+    vocabulary = Vocabulary(hashes, _idf(docs, hashes))
 
     def examples(batches):
         for batch in batches:
@@ -237,11 +256,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | Non
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with _tox_score, and _tox_evidence: the doc_ids of the nearest examples, nearest first."""
+    if clash := [n for n in docs.columns if n.lower() in ("_tox_score", "_tox_evidence")]:
+        raise ValueError(f"columns {clash} are taken")
     if model is None:
         return docs.withColumns({"_tox_score": F.lit(0.0), "_tox_evidence": F.array().cast("array<long>")})
     at = docs.columns.index(text)
     names = [*docs.columns, "_tox_score", "_tox_evidence"]
-    # Bounded by TERMS and EXAMPLES.
+    # Bounded by the terms of TRAIN_ROWS texts and by EXAMPLES.
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

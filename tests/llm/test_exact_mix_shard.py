@@ -31,13 +31,33 @@ def test_index_persists_and_appends(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, path, buckets=4)
     a = spark.createDataFrame([(1, "x y"), (2, "xy"), (3, "z")], "doc_id long, text string")
     assert index.add(exact_dedup.digests(a)).count() == 2
-    again = exact_dedup.DigestIndex(spark, path, buckets=4)
-    b = spark.createDataFrame([(4, "x\ty"), (5, "w"), (6, None)], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, buckets=8)
+    again = exact_dedup.DigestIndex(spark, path)
+    b = spark.createDataFrame([(4, "x\ty "), (5, "w"), (6, None)], "doc_id long, text string")
     new = again.add(exact_dedup.digests(b))
     assert sorted(r.keep_id for r in new.collect()) == [5, 6]
-    assert again.rows().count() == 4
+    assert again.buckets == 4 and again.rows().count() == 4
+    groups = {r.keep_id: r.group_size for r in again.groups().collect()}
+    assert groups == {4: 3, 3: 1, 5: 1, 6: 1}
     plan = exact_dedup.digests(b).hint("merge").join(again.rows().select("digest"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange") == 1
+    assert "Exchange" not in again.groups()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_meet_what_the_index_has(spark, monkeypatch):
+    joins = []
+    real = exact_dedup.DigestIndex.add
+
+    def add(self, found):
+        joins.append(self.exists)
+        return real(self, found)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", add)
+    df = spark.range(60).selectExpr("id AS doc_id", "concat('t', id % 7) AS text")
+    got = exact_dedup.deduplicate(df, batches=3).collect()
+    assert joins == [False, True, True]
+    assert all(g.keep_id == g.doc_id % 7 and g.group_size == len(range(g.keep_id, 60, 7)) for g in got)
 
 
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
@@ -70,20 +90,35 @@ def test_mixing(docs, rows, none):
         taken[g.source] += g.taken
     for s in sizes:
         longest = max(size(r[1]) for r in rows if r[3] == s)
-        assert 0 <= want[s] - taken[s] + 1e-6 and want[s] - taken[s] < longest
+        assert 0 <= want[s] - taken[s] + 1e-6 and want[s] - taken[s] < longest + 1
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
     assert mixing.mix(none).count() == 0
     assert mixing.sample(docs).columns == docs.columns
-    sampled = Counter(r.doc_id for r in mixing.sample(docs).where("doc_id IS NOT NULL AND doc_id <> 3").collect())
-    assert sampled == Counter({g.doc_id: g.copies for g in got if g.copies and g.doc_id not in (None, 3)})
+    sampled = Counter(mixing.sample(docs).collect())
+    each = {(g.doc_id, g["size"], g.source): g.copies for g in got}
+    assert sampled == Counter({x: n * each[x.doc_id, size(x.text), x.source] for x, n in Counter(docs.collect()).items()}) + Counter()
+
+
+def test_mixing_passes_equal_one_walk(spark, monkeypatch, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "FEW_ROWS", 3)
+    monkeypatch.setattr(mixing, "BINS", 4)
+    assert sorted(mixing.mix(df).collect()) == want
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(mixing.mix(df).collect()) == want
 
 
 def test_pareto_chances(spark):
-    df = spark.range(4000).selectExpr("id AS doc_id", "'a b' AS text", "CASE WHEN id < 2000 THEN 'p' ELSE 'q' END AS source")
-    got = mixing.mix(df).groupBy("source", "copies").count().collect()
-    share = {(r.source, r.copies): r["count"] / 2000 for r in got}
-    # 8000 words at 5 to 2: 5714 and 2286, which is 1.43 and 0.57 of 4000.
-    assert abs(share["p", 2] - 0.4286) < 0.001 and abs(share["q", 1] - 0.5714) < 0.001
+    """Longer documents have better odds of their own: copies go with the bits of the word count."""
+    df = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'a b' ELSE 'a b c d e f g h' END AS text", "CASE WHEN id < 2000 THEN 'p' ELSE 'q' END AS source")
+    got = mixing.mix(df).groupBy("source", "size").agg({"copies": "avg", "taken": "sum"}).collect()
+    mean = {(r.source, r["size"]): r["avg(copies)"] for r in got}
+    # 20,000 words at 5 to 2, from 10,000 each. Classes 2 and 4 (two words, eight words): rate * (2 * 2000 + 4 * 8000) words.
+    for source, target in (("p", 20000 * 5 / 7), ("q", 20000 * 2 / 7)):
+        rate = target / (2 * 2000 + 4 * 8000)
+        assert abs(mean[source, 2] - 2 * rate) < 0.05 and abs(mean[source, 8] - 4 * rate) < 0.02
+        assert abs(sum(r["sum(taken)"] for r in got if r.source == source) - target) <= 0.001 * target + 8
 
 
 def test_sharding(docs, rows, none):
@@ -106,7 +141,15 @@ def test_shards_balance_with_a_hot_text(spark):
     assert all(r["max(slot)"] + 1 == r["count(doc_id)"] for r in got)
 
 
-@pytest.mark.parametrize("name", ["op4_exact_dedup", "op2_decontamination"])
+def test_groups_under_the_tolerance_stay_whole(spark):
+    df = spark.range(6000).selectExpr("id AS doc_id", "concat('a text that is shared ', repeat(cast(id % 1000 as string), 20)) AS text")
+    got = sharding.shard_documents(df)
+    assert got.groupBy("text_crc32").agg({"shard": "min"}).count() == got.select("text_crc32", "shard").distinct().count()
+    sums = [r[1] for r in got.groupBy("shard").agg({"size": "sum"}).collect()]
+    assert len(sums) == 16 and max(sums) - min(sums) < 0.05 * max(sums)
+
+
+@pytest.mark.parametrize("name", ["op4_exact_dedup", "op3_mixing", "op2_decontamination"])
 def test_against_sql(spark, sf_dir, name):
     from lexmill.llm import queries
 
