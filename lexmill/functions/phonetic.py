@@ -217,6 +217,11 @@ def metaphone(word: str) -> str:
     return "".join(code)
 
 
+def codes(words: set[str]) -> set[str]:
+    """The codes of a set of words; words without a sound have none."""
+    return {metaphone(w) for w in words} - {""}
+
+
 def phrase(text: str) -> str:
     """Codes of the text's words, joined by spaces."""
     return " ".join(metaphone(word) for word in text.split())

@@ -9,9 +9,11 @@ def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, a bit for each character of a."""
     if not a or not b:
         return 0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
+    if len(a) < len(b):
+        a, b = b, a
+    # One step for each character of the shorter string.
+    codes = _codes(a)
+    places = {c: int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little") for c in set(b)}
     full = (1 << len(a)) - 1
     row = full
     for c in b:
@@ -31,7 +33,11 @@ def ratio(a: str, b: str) -> float:
 
 def token_set_ratio(a: str, b: str) -> float:
     """The best of comparing the shared tokens with either side and the sides with each other."""
-    x, y = set(a.split()), set(b.split())
+    return token_sets_ratio(set(a.split()), set(b.split()))
+
+
+def token_sets_ratio(x: set[str], y: set[str], least: float = 0.0) -> float:
+    """token_set_ratio() of token sets; where it can't be over least, some number that isn't either."""
     if not x or not y:
         return 0.0
     both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
@@ -40,11 +46,10 @@ def token_set_ratio(a: str, b: str) -> float:
     common, p, q = " ".join(both), " ".join(left), " ".join(right)
     gap = 1 if common else 0
     np_, nq = len(common) + gap + len(p), len(common) + gap + len(q)
-    # Both whole sides start with the shared tokens, so only the rest need comparing.
-    best = _share(len(common) + gap + lcs(p, q), np_ + nq)
-    if common:
-        best = max(best, _share(len(common), len(common) + np_), _share(len(common), len(common) + nq))
-    return best
+    best = max(_share(len(common), len(common) + np_), _share(len(common), len(common) + nq)) if common else 0.0
+    # Both whole sides start with the shared tokens, so only the rest need comparing; and that only where it can matter.
+    most = _share(len(common) + gap + min(len(p), len(q)), np_ + nq)
+    return max(best, _share(len(common) + gap + lcs(p, q), np_ + nq)) if most > max(best, least) else best
 
 
 def _codes(text: str) -> np.ndarray:
@@ -94,7 +99,7 @@ def _windows(needle: str, texts: list[str]) -> np.ndarray:
     return np.array([score[s - (m - 1) : s + k].max() if k else 0.0 for s, k in zip(starts.tolist(), sizes.tolist(), strict=True)])
 
 
-def partial_ratios(query: str, texts: list[str], most_chars: int = 1 << 20) -> np.ndarray:
+def partial_ratios(query: str, texts: list[str], most_chars: int = 1 << 15) -> np.ndarray:
     """partial_ratio(query, t) of each text: the shorter string against the best window of the longer."""
     out = np.zeros(len(texts))
     long = []

@@ -47,7 +47,7 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def canonical_filename(path: Column, prefix: str = "Sunbeam") -> Column:
+def canonical_filename(path: Column, prefix: str) -> Column:
     """"<name> <yyyy> <mm>.pdf" to "<prefix>-<yyyy>-<Month>.pdf"; null for names of another shape."""
     parts = F.split(F.regexp_replace(basename(path), r"\.pdf$", ""), " ")
     month = F.try_element_at(parts, F.lit(3)).try_cast("int")

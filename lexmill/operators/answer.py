@@ -10,7 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import sentences_with
+from lexmill.plans.ranking import global_rank
 
+#: Fixed value: what stands before the passages.
 PASSAGES = "Here are the relevant passages from this document: "
 RULE = "-" * 100
 _FINAL = r"(?s)<final_answer>(.*?)</final_answer>"
@@ -52,7 +54,7 @@ def final_answer(message: Column) -> Column:
 
 def citations(docs: DataFrame, order: str = "doc_ord") -> DataFrame:
     """Numbered sources (from 1) in order."""
-    return docs.select(F.row_number().over(W.orderBy(order)).alias("n"), "title", "source", *[c for c in ("start_page", "end_page") if c in docs.columns])
+    return global_rank(docs, order, "n").select("n", "title", "source", *[c for c in ("start_page", "end_page") if c in docs.columns])
 
 
 def resume(messages: DataFrame, prompt: str, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:

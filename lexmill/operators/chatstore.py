@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.plans.stored import stored
+
 #: The kinds of steps.
 STEP_TYPES = ("assistant_message", "embedding", "llm", "retrieval", "rerank", "run", "system_message", "tool", "undefined", "user_message")
 
 _STAMPS = "createdAt TIMESTAMP_NTZ, updatedAt TIMESTAMP_NTZ"
+#: Columns of the store.
 SCHEMAS = {
     "User": f"id STRING, {_STAMPS}, metadata STRING, identifier STRING",
     "Thread": f"id STRING, {_STAMPS}, deletedAt TIMESTAMP_NTZ, name STRING, metadata STRING, tags ARRAY<STRING>, userId STRING",
@@ -32,13 +35,27 @@ def timeline(steps: DataFrame, thread: str = "threadId", start: str = "startTime
 
 
 def step_depths(steps: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """id, root and depth of every step below a root (column id; by default those without a parent), by a recursive query."""
-    steps.select("id", "parentId").createOrReplaceTempView("_steps")
-    (steps.where("parentId IS NULL") if roots is None else roots).select("id").createOrReplaceTempView("_roots")
-    return steps.sparkSession.sql(
-        "WITH RECURSIVE tree(id, root, depth) AS (SELECT id, id, 0 FROM _roots "
-        "UNION ALL SELECT s.id, t.root, t.depth + 1 FROM _steps s JOIN tree t ON s.parentId = t.id) SELECT id, root, depth FROM tree"
-    )
+    """id, root and depth of every step at or below a root (column id; by default those without a parent); of roots above one another the nearest counts.
+
+    Pointers are doubled: each round takes a step as far up as the one it points to has come, so a tree of any
+    depth takes as many rounds as its depth has bits. Steps of a cycle, and those without a root, are left out."""
+    top = (steps.where("parentId IS NULL") if roots is None else roots).select(F.col("id").alias("_root")).distinct()
+    all_ = steps.select("id", "parentId").join(top, F.col("id") == F.col("_root"), "left")
+    done = all_.where("_root IS NOT NULL").select("id", F.col("id").alias("up"), F.lit(0).alias("depth"))
+    open_ = all_.where("_root IS NULL AND parentId IS NOT NULL").select("id", F.col("parentId").alias("up"), F.lit(1).alias("depth"))
+    state = stored(done.withColumn("ended", F.lit(True)).unionByName(open_.withColumn("ended", F.lit(False))))
+    before = -1
+    while True:
+        open_ = state.where("NOT ended")
+        n = open_.count()
+        # Below a root, every round ends some: where none has, only cycles are left.
+        if n in (0, before):
+            break
+        before = n
+        far = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("ended").alias("ends"))
+        step = open_.join(far, "up").select("id", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).cast("int").alias("depth"), F.col("ends").alias("ended"))
+        state = stored(state.where("ended").unionByName(step))
+    return state.where("ended").select("id", F.col("up").alias("root"), "depth")
 
 
 def counts(steps: DataFrame, by: str = "type") -> DataFrame:

@@ -30,22 +30,27 @@ class FuzzyRetriever:
     def scores(self, queries: list[tuple[int, str]], corpus: DataFrame) -> DataFrame:
         """Scores of every document that passes the threshold, for each (qid, query). A query without words finds nothing."""
         fields = [f for f in FIELDS if f in corpus.columns]
-        asked = [(i, q.lower(), set(q.lower().split()), phonetic.phrase(q.lower())) for i, q in queries if q.split()]
+        asked = [(i, q.lower(), set(q.lower().split()), phonetic.codes(set(q.lower().split()))) for i, q in queries if q.split()]
         me = self
 
         def run(frames):
             for pdf in frames:
                 texts = [(t or "").lower() for t in pdf["page_content"]]
                 tokens = [set(t.split()) for t in texts]
-                sounds = [phonetic.phrase(t) for t in texts]
+                # Each distinct word is coded once a worker; a text's codes are a set from the start.
+                sounds = [phonetic.codes(t) for t in tokens]
                 meta = [[("none" if v is None else str(v).lower()) for v in row] for row in pdf[fields].itertuples(index=False, name=None)] if fields else [[] for _ in texts]
                 for qid, q, words, code in asked:
                     partial = similarity.partial_ratios(q, texts)
                     rows = []
                     for ord_, part, have, sound, values in zip(pdf["doc_ord"], partial, tokens, sounds, meta, strict=True):
                         overlap = 100.0 * len(words & have) / len(words)
-                        heard = similarity.token_set_ratio(code, sound)
-                        about = max((s for v in values for s in (similarity.ratio(q, v), similarity.token_set_ratio(code, phonetic.phrase(v)))), default=0.0)
+                        about = max((s for v in values for s in (similarity.ratio(q, v), similarity.token_sets_ratio(code, phonetic.codes(set(v.split()))))), default=0.0)
+                        if not me.content_weight * (part + overlap + 100) / 3 + me.metadata_weight * about > me.threshold:
+                            continue
+                        # Below this the row can't pass, so the exact number isn't needed.
+                        least = (me.threshold - me.metadata_weight * about) * 3 / me.content_weight - part - overlap - 1e-6 if me.content_weight else 0.0
+                        heard = similarity.token_sets_ratio(code, sound, least)
                         total = me.content_weight * (part + overlap + heard) / 3 + me.metadata_weight * about
                         if total > me.threshold:
                             rows.append((qid, ord_, total, overlap, heard, part, about))

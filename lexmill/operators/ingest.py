@@ -43,8 +43,11 @@ def upsert(existing: DataFrame, new: DataFrame, key: str = "doc_key", order: str
     merged = rows.groupBy(key).agg(last, first)
     columns = [F.col(f"last.{c}").alias(c) for c in rest if c != order]
     placed = merged.select(key, F.col("first._batch").alias("_b"), F.col(f"first.{order}").alias("_o"), *columns)
-    # Existing positions first, then new ones in their order.
-    return placed.withColumn(order, F.struct("_b", "_o")).drop("_b", "_o").select(*existing.columns)
+    # Existing positions stay; new ones follow the last of them in their order, as numbers, so the result can be merged again.
+    last_old, first_new = existing.agg(F.max(order)).first()[0], new.agg(F.min(order)).first()[0]
+    shift = 0 if last_old is None or first_new is None else last_old + 1 - first_new
+    at = F.when(F.col("_b") == 0, F.col("_o")).otherwise(F.col("_o") + F.lit(shift)).cast(existing.schema[order].dataType)
+    return placed.withColumn(order, at).drop("_b", "_o").select(*existing.columns)
 
 
 def insert_only(existing: DataFrame, new: DataFrame, key: str = "doc_key") -> DataFrame:

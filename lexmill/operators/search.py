@@ -20,11 +20,11 @@ def find(corpus: DataFrame, query: str, exact: bool = False) -> DataFrame:
     return corpus.where(search_filter(query, F.col("page_content"), exact))
 
 
-def search(corpus: DataFrame, query: str, exact: bool = False, strict_cap: bool = False, many_hits: bool = False) -> DataFrame:
+def search(corpus: DataFrame, query: str, exact: bool = False, strict_cap: bool = False, many_hits: bool = True) -> DataFrame:
     """rank (from 1, in corpus order), title, source and snippet of every hit.
 
-    The ranks are places in one global order. One task numbers the hits, which are few next to the
-    corpus as a rule; with many_hits they are numbered by ranges, at the price of two more scans."""
+    The ranks are places in one global order, found by ranges of it, at the price of two more scans;
+    with many_hits=False one task numbers the hits, which is quicker where they are few."""
     hits = find(corpus, query, exact).select("doc_ord", F.coalesce("title", F.lit("Untitled")).alias("title"), F.coalesce("source", F.lit("Unknown")).alias("source"), snippets(F.col("page_content"), boolean.terms(boolean.parse(query)), strict=strict_cap).alias("snippet"))
     ranked = global_rank(hits, "doc_ord") if many_hits else hits.withColumn("rank", F.row_number().over(W.orderBy("doc_ord")))
     return ranked.select("doc_ord", "rank", "title", "source", "snippet")

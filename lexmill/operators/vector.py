@@ -26,7 +26,7 @@ def literal(vector) -> Column:
 def nearest(vectors: DataFrame, query, k: int = 20, metric: str = "dot", key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The k rows most similar to one query vector: a scan and a top-k, no shuffle of vectors."""
     measure = cosine if metric == "cosine" else dot
-    scored = vectors.select(key, F.round(measure(F.col(embedding), literal(query)), 6).alias("similarity"), embedding)
+    scored = vectors.select(key, measure(F.col(embedding), literal(query)).alias("similarity"), embedding)
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
@@ -48,7 +48,7 @@ def nearest_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
             x = np.stack([np.asarray(v, np.float64) for v in pdf[embedding]])
             if metric == "cosine":
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            sims = np.round(x @ matrix.T, 6)
+            sims = x @ matrix.T
             for j, q in enumerate(ids):
                 new = pd.DataFrame({"qid": q, "key": pdf[key].to_numpy(), "similarity": sims[:, j]})
                 held = pd.concat([best[q], new]) if q in best else new
@@ -81,6 +81,21 @@ def mmr(candidates: list[tuple[int, list[float]]], query, k: int = 5, weight: fl
     return [candidates[i][0] for i in taken]
 
 
+def mmr_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 5, fetch_k: int = 20, weight: float = 0.5, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """qid, key, rank: for each query vector the k re-ranked among its fetch_k nearest, which are all that is gathered."""
+    asked = dict(queries)
+    near = nearest_batch(vectors, queries, fetch_k, key=key, embedding=embedding).select("qid", key, F.col("rank").alias("near"))
+    rows = vectors.select(key, embedding).join(F.broadcast(near), key)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("near")
+        qid = int(pdf["qid"].iloc[0])
+        picked = mmr(list(zip(pdf[key].tolist(), pdf[embedding].tolist(), strict=True)), asked[qid], k, weight)
+        return pd.DataFrame({"qid": qid, key: picked, "rank": range(1, len(picked) + 1)})
+
+    return rows.groupBy("qid").applyInPandas(run, f"qid long, {key} long, rank int")
+
+
 def mmr_search(vectors: DataFrame, query, k: int = 5, fetch_k: int = 20, weight: float = 0.5, key: str = "vec_id") -> DataFrame:
     """rank and key of the k re-ranked among the fetch_k nearest: only those reach the driver."""
     near = nearest(vectors, query, fetch_k, key=key).collect()

@@ -102,9 +102,26 @@ ORACLE_SQL: dict[str, str] = {
     "clean_metadata": f"SELECT doc_id, coalesce(source, 'Unknown') AS source, coalesce(CAST(quality AS VARCHAR), 'Unknown') AS quality, coalesce(CAST(toxic AS VARCHAR), 'Unknown') AS toxic FROM {_LABELLED}",
     "metadata_diff": f"SELECT doc_id, name, CAST(NULL AS VARCHAR) AS before, 'Unknown' AS after FROM (SELECT doc_id, unnest(['source', 'quality', 'toxic']) AS name, unnest([source, CAST(quality AS VARCHAR), CAST(toxic AS VARCHAR)]) AS v FROM {_LABELLED}) WHERE v IS NULL",
     "kb_upsert": """
-SELECT doc_key, first.b AS batch, first.o AS position, last.n_chars AS n_chars FROM (
+SELECT doc_key, CASE WHEN first.b = 0 THEN first.o ELSE first.o + (SELECT max(doc_id) FROM documents WHERE doc_id % 2 = 0) + 1 - (SELECT min(doc_id) FROM documents WHERE doc_id % 2 = 1) END AS position, last.n_chars AS n_chars FROM (
   SELECT source || '-' || lang AS doc_key, min({'b': doc_id % 2, 'o': doc_id}) AS first, max({'b': doc_id % 2, 'o': doc_id, 'n_chars': n_chars}) AS last
   FROM documents GROUP BY 1)""",
+    "kb_stored": """
+SELECT row_number() OVER (ORDER BY first) AS place, last.source AS source, last.title AS title, sha256(last.text) AS content FROM (
+  SELECT min({'b': doc_id % 2, 'o': doc_id}) AS first, max({'b': doc_id % 2, 'o': doc_id, 'source': source, 'title': 't' || doc_id % 700, 'text': text}) AS last
+  FROM documents GROUP BY source || '-t' || doc_id % 700)""",
+    "mmr": f"""
+WITH RECURSIVE q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+c AS (SELECT e.vec_id, e.embedding, {_dot('e.embedding', 'q.embedding')} AS s FROM embeddings e, q ORDER BY s DESC, e.vec_id LIMIT 20),
+l AS (SELECT c.vec_id, c.s / (sqrt({_dot('c.embedding', 'c.embedding')}) * sqrt({_dot('q.embedding', 'q.embedding')})) AS near FROM c, q),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_dot('a.embedding', 'b.embedding')} / (sqrt({_dot('a.embedding', 'a.embedding')}) * sqrt({_dot('b.embedding', 'b.embedding')})) AS s FROM c a, c b),
+walk AS (
+  SELECT 1 AS step, [arg_max(vec_id, near)] AS picked FROM l
+  UNION ALL
+  SELECT step + 1, list_append(picked, arg_max(vec_id, score)) FROM (
+    SELECT w.step, w.picked, l.vec_id, 0.5 * l.near - 0.5 * max(p.s) AS score
+    FROM walk w JOIN l ON NOT list_contains(w.picked, l.vec_id) JOIN p ON p.a = l.vec_id AND list_contains(w.picked, p.b)
+    WHERE w.step < 5 GROUP BY w.step, w.picked, l.vec_id, l.near) GROUP BY step, picked)
+SELECT i::BIGINT AS rank, picked[i] AS vec_id FROM walk, range(1, 6) t(i) WHERE step = 5""",
     "vector_insert_only": "SELECT doc_id AS doc_key, source FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "dedup_first": "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1",
     "filter_existing": "SELECT page_id, url AS path FROM pages WHERE list_last(string_split(url, '/')) NOT IN (SELECT doc_id || '?page=2&ref=x' FROM documents)",
@@ -117,7 +134,7 @@ FROM (SELECT doc_id, CAST(unnest(range(len(p))) AS BIGINT) AS page, unnest(p) AS
     "collapse_blank": f"SELECT doc_id, regexp_replace(replace(text, '\n', '\n \t\n'), '\\n{_CLASS}*\\n', '\n\n', 'g') AS text FROM documents",
     "token_filter": f"SELECT doc_id, n AS n_tokens FROM (SELECT doc_id, {_NTOK} AS n FROM documents) WHERE n < 200",
     "filename_canonical": """
-SELECT doc_id, path, CASE WHEN m BETWEEN 1 AND 12 THEN '/in/Sunbeam-' || y || '-' || ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][m] || '.pdf' END AS new_path
+SELECT doc_id, path, CASE WHEN m BETWEEN 1 AND 12 THEN '/in/Issue-' || y || '-' || ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][m] || '.pdf' END AS new_path
 FROM (SELECT doc_id, 1990 + doc_id % 30 AS y, doc_id % 14 AS m, '/in/sunbeam ' || (1990 + doc_id % 30) || ' ' || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || '.pdf' AS path FROM documents)""",
     "filename_date": "SELECT doc_id, ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][doc_id % 12 + 1] AS month, CAST(1990 + doc_id % 30 AS VARCHAR) AS year FROM documents",
     "token_overlap": f"SELECT doc_id, len(list_intersect({_tokens('text')}, ['the', 'thing', 'of', 'other'])) / 4.0 * 100 AS overlap FROM documents",

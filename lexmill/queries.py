@@ -13,6 +13,8 @@ from lexmill.functions import phonetic, similarity, snippets
 from lexmill.functions import text as tx
 from lexmill.operators import answer, bm25, chatstore, fuzzy, hybrid, ingest, search, stats, vector
 from lexmill.plans import boolean
+from lexmill.plans.ranking import global_rank
+from lexmill.plans.stored import scratch
 from lexmill.sources import knowledge_base as kb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,7 +125,19 @@ def kb_upsert(spark, d):
     docs = table(spark, d, "documents")
     rows = docs.select(ingest.doc_key(F.col("source"), F.col("lang")).alias("doc_key"), F.col("doc_id").alias("doc_ord"), F.col("n_chars"))
     merged = ingest.upsert(rows.where("doc_ord % 2 = 0"), rows.where("doc_ord % 2 = 1"))
-    return merged.select("doc_key", F.col("doc_ord._b").cast("long").alias("batch"), F.col("doc_ord._o").alias("position"), "n_chars")
+    return merged.select("doc_key", F.col("doc_ord").alias("position"), "n_chars")
+
+
+@query
+def kb_stored(spark, d):
+    """The knowledge base written in two merges of several files each, and read again."""
+    rows = kb.corpus_of(table(spark, d, "documents"))
+    rows = rows.withColumn("title", F.concat(F.lit("t"), (F.col("doc_ord") % 700).cast("string"))).withColumn("doc_key", ingest.doc_key(F.col("source"), F.col("title")))
+    path = scratch(spark)
+    for k in range(2):
+        kb.upsert_jsonl(rows.where(F.col("doc_ord") % 2 == k).repartition(3), path)
+    found = kb.read_jsonl(spark, path)
+    return global_rank(found, "doc_ord", "place").select("place", "source", "title", F.sha2("page_content", 256).alias("content"))
 
 
 @query
@@ -188,7 +202,7 @@ def token_filter(spark, d):
 @query
 def filename_canonical(spark, d):
     base = table(spark, d, "documents").select("doc_id", F.concat(F.lit("/in/sunbeam "), (1990 + F.col("doc_id") % 30).cast("string"), F.lit(" "), F.lpad((F.col("doc_id") % 14).cast("string"), 2, "0"), F.lit(".pdf")).alias("path"))
-    return kb.renamed(base, tx.canonical_filename(F.col("path"))).select("doc_id", "path", "new_path")
+    return kb.renamed(base, tx.canonical_filename(F.col("path"), "Issue")).select("doc_id", "path", "new_path")
 
 
 @query
@@ -250,19 +264,19 @@ def _vector(spark, d, vec_id: int) -> list[float]:
 
 @query
 def knn_dot(spark, d):
-    return vector.nearest(table(spark, d, "embeddings"), _vector(spark, d, 0)).select("vec_id", "similarity")
+    return vector.nearest(table(spark, d, "embeddings"), _vector(spark, d, 0)).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query
 def knn_cosine(spark, d):
-    return vector.nearest(table(spark, d, "embeddings"), _vector(spark, d, 0), metric="cosine").select("vec_id", "similarity")
+    return vector.nearest(table(spark, d, "embeddings"), _vector(spark, d, 0), metric="cosine").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query
 def knn_batch(spark, d):
     v = table(spark, d, "embeddings")
     asked = [(r.vec_id, r.embedding) for r in v.where("vec_id < 8").collect()]
-    return vector.nearest_batch(v, asked, 5).select("qid", "vec_id", "similarity", F.col("rank").cast("long").alias("rank"))
+    return vector.nearest_batch(v, asked, 5).select("qid", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -294,7 +308,7 @@ def bm25_lengths(spark, d):
 
 def _legs(spark, d):
     c = corpus(spark, d)
-    near = vector.nearest_batch(table(spark, d, "embeddings"), [(q, _vector(spark, d, q)) for q, _ in ASKED], 5)
+    near = vector.mmr_batch(table(spark, d, "embeddings"), [(q, _vector(spark, d, q)) for q, _ in ASKED])
     return [fuzzy.FuzzyRetriever().search(ASKED, c), near.withColumnRenamed("vec_id", "doc_ord")]
 
 

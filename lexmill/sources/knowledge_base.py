@@ -19,11 +19,22 @@ METADATA = T.StructType(
 DOCUMENT = T.StructType([T.StructField("page_content", T.StringType()), T.StructField("metadata", METADATA)])
 
 
+#: Bytes of a file that doc_ord leaves room for: a terabyte.
+_FILE_BITS = 40
+
+
 def _documents(raw: DataFrame) -> DataFrame:
+    """Rows with doc_key and doc_ord: places in the order of file name, then of the file's rows, however Spark deals out the files.
+
+    A file's place is its name's rank; a row's is where its split begins plus its number in its task, which is less
+    than the bytes of a split that another one follows (such a split is a task of its own). No shuffle is needed."""
     rows = raw.select("page_content", "metadata.*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
-    keyed = rows.withColumn("doc_key", ingest.doc_key(F.col("source"), F.col("title")))
-    # A row's number within its task rises with its place in the file: a sortable order without a shuffle.
-    return keyed.withColumn("doc_ord", F.col("_row")).drop("_file", "_block", "_row")
+    names = sorted(r._file for r in raw.select(F.col("_metadata.file_path").alias("_file")).distinct().collect())
+    # One row for each file that has any.
+    ranks = raw.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "_file string, _rank long")
+    place = F.shiftleft("_rank", _FILE_BITS) + F.col("_block") + F.col("_row").bitwiseAND((1 << 33) - 1)
+    keyed = rows.join(F.broadcast(ranks), "_file").withColumn("doc_key", ingest.doc_key(F.col("source"), F.col("title")))
+    return keyed.withColumn("doc_ord", place).drop("_file", "_block", "_row", "_rank")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -46,40 +57,68 @@ def write_jsonl(docs: DataFrame, path: str) -> None:
     as_records(docs).write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _moved(store, source, target) -> None:
+    if not store.rename(source, target):
+        raise OSError(f"could not rename {source.toString()} to {target.toString()}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put the old version back if an upsert was cut short between its two renames, when nothing is at path."""
+    store, at = _store(spark, path)
+    if not store.exists(at) and (left := store.globStatus(at.suffix(".old-*"))):
+        _moved(store, left[0].getPath(), at)
+
+
 def upsert_jsonl(docs: DataFrame, path: str) -> None:
-    """Merge by key into the file set at path. The result is written beside it whole and then put in its place,
-    so that a failure leaves the old or the new version, never part of one."""
+    """Merge by key into the file set at path. The result is written beside it whole and then put in its place: a failure
+    leaves the old or the new version, there or (between two renames) beside it, from where recover() takes it."""
     spark = docs.sparkSession
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if store.exists(at):
-        old = read_jsonl(spark, path)
-        merged = ingest.upsert(old, docs.select(*old.columns))
-    else:
-        merged = ingest.upsert(docs.limit(0), docs)
-    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    as_records(merged.sort("doc_ord")).write.json(fresh, ignoreNullFields=False)
-    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    path = path.rstrip("/")
+    recover(spark, path)
+    store, at = _store(spark, path)
     had = store.exists(at)
+    # Metadata that the rows don't have is null, as in the files.
+    docs = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in METADATA if f.name not in docs.columns})
+    old = read_jsonl(spark, path) if had else docs.limit(0)
+    merged = ingest.upsert(old, docs.select(*old.columns))
+    fresh, aside = at.suffix(f".new-{uuid.uuid4().hex}"), at.suffix(f".old-{uuid.uuid4().hex}")
+    as_records(merged.sort("doc_ord")).write.json(fresh.toString(), ignoreNullFields=False)
     if had:
-        store.rename(at, aside)
-    store.rename(jvm.org.apache.hadoop.fs.Path(fresh), at)
+        _moved(store, at, aside)
+    try:
+        _moved(store, fresh, at)
+    except Exception:
+        if had:
+            _moved(store, aside, at)
+        raise
     if had:
         store.delete(aside, True)
 
 
 class VectorTable:
-    """Vectors at a path: made where absent, only new ids are added."""
+    """Vectors at a path, all of one dimension and meant for one metric: made where absent, only new ids are added."""
 
     SCHEMA = "doc_key string, embedding array<float>, metadata map<string,string>"
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None, metric: str = "dot"):
+        """dimension, metric: kept with the table; another value than the table's is an error. None: any, until a table is made with one."""
         self.spark, self.path = spark, path
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        store, at = _store(spark, path)
+        layout = f"{path}/_layout"
+        if not store.exists(at):
             spark.createDataFrame([], self.SCHEMA).write.parquet(path)
+            spark.createDataFrame([(dimension, metric)], "dimension int, metric string").write.json(layout)
+        elif store.exists(_store(spark, layout)[1]):
+            kept = spark.read.schema("dimension int, metric string").json(layout).first()
+            if (dimension is not None and kept.dimension not in (None, dimension)) or kept.metric != metric:
+                raise ValueError(f"the table at {path} has dimension {kept.dimension} and metric {kept.metric}")
+            dimension = kept.dimension if kept.dimension is not None else dimension
+        self.dimension, self.metric = dimension, metric
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
@@ -91,6 +130,10 @@ class VectorTable:
         return self.rows().join(ids.select("doc_key").distinct(), "doc_key", "left_semi")
 
     def add(self, new: DataFrame) -> None:
+        if self.dimension is not None:
+            fits = F.size("embedding") == self.dimension
+            wrong = F.raise_error(F.concat(F.lit(f"not {self.dimension} numbers: "), F.coalesce("doc_key", F.lit("null"))))
+            new = new.withColumn("embedding", F.when(F.coalesce(fits, F.lit(False)), F.col("embedding")).otherwise(wrong.cast("array<float>")))
         ingest.insert_only(self.ids(), new.select("doc_key", "embedding", "metadata")).write.mode("append").parquet(self.path)
 
 
@@ -132,6 +175,12 @@ def write_bm25(corpus: DataFrame, path: str) -> None:
     bm25.lengths(corpus).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
+def read_bm25(spark: SparkSession, path: str) -> tuple[int, float, DataFrame]:
+    """What write_bm25() wrote, as bm25.top_k() takes it."""
+    n, avgdl = spark.read.parquet(f"{path}/lengths").first()
+    return n, avgdl, spark.read.parquet(f"{path}/df")
+
+
 def renamed(paths: DataFrame, name: Column, path: str = "path") -> DataFrame:
     """paths with new_path: a mapping for copies or renames; nothing is moved."""
     return paths.select("*", F.concat(F.regexp_replace(path, "[^/]*$", ""), name).alias("new_path"))
@@ -140,5 +189,3 @@ def renamed(paths: DataFrame, name: Column, path: str = "path") -> DataFrame:
 def corpus_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The test tables' documents in the shape of a corpus."""
     return docs.select(F.col(key).alias("doc_ord"), F.concat(F.lit("doc-"), F.col(key).cast("string")).alias("title"), "source", F.col(text).alias("page_content"))
-
-

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,8 +50,8 @@ def test_text_operators(spark):
     assert got[1].n == "1. " and got[2].n is None
     one = spark.createDataFrame([("x\n \t\n\ny  Straße “é”",)], "t string").select(ingest.clean_text(F.col("t")).alias("t")).first()
     assert one.t == 'x\n\ny  Strasse "e"'
-    names = spark.createDataFrame([("/a/sun 2020 03.pdf",), ("b 2020.pdf",), ("s 2020 13.pdf",)], "p string").select(tx.canonical_filename(F.col("p")).alias("n")).collect()
-    assert [r.n for r in names] == ["Sunbeam-2020-March.pdf", None, None]
+    names = spark.createDataFrame([("/a/sun 2020 03.pdf",), ("b 2020.pdf",), ("s 2020 13.pdf",)], "p string").select(tx.canonical_filename(F.col("p"), "Issue").alias("n")).collect()
+    assert [r.n for r in names] == ["Issue-2020-March.pdf", None, None]
 
 
 def test_articles_and_filters(spark):
@@ -116,3 +117,52 @@ def test_streaming_upsert(spark, tmp_path):
         streaming.watch_articles(spark, str(folder), target, checkpoint).awaitTermination()
     got = {r.doc_key: r.page_content for r in kb.read_jsonl(spark, target).collect()}
     assert got == {"s-1": "two", "s-n0": "x", "s-n1": "x"}
+
+
+def test_order_of_several_files_and_a_second_merge(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    sizes = [1, 40, 3, 25]
+    n = 0
+    for k, size in enumerate(sizes):
+        with open(folder / f"part-{k}.json", "w") as out:
+            for _ in range(size):
+                out.write(json.dumps({"page_content": f"text {n} " + "x" * (n % 7) * 50, "metadata": {"source": "s", "title": str(n)}}) + "\n")
+                n += 1
+    got = kb.read_jsonl(spark, str(folder)).orderBy("doc_ord").collect()
+    assert [r.title for r in got] == [str(i) for i in range(n)] and isinstance(got[0].doc_ord, int)
+    path = str(tmp_path / "base")
+    kb.upsert_jsonl(kb.read_jsonl(spark, str(folder)), path)
+    new = spark.createDataFrame([("s-3", 0, "changed", "s", "3"), ("s-new", 1, "more", "s", "new")], "doc_key string, doc_ord long, page_content string, source string, title string")
+    old = kb.read_jsonl(spark, path)
+    more = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns])
+    merged = ingest.upsert(ingest.upsert(old, more), more.withColumn("page_content", F.lit("again")))
+    rows = merged.orderBy("doc_ord").collect()
+    assert [r.title for r in rows] == [*[str(i) for i in range(n)], "new"] and rows[3].page_content == rows[-1].page_content == "again"
+
+
+def test_a_merge_that_was_cut_short_is_taken_back(spark, tmp_path):
+    path = str(tmp_path / "base")
+    docs = spark.createDataFrame([("s-a", 0, "one", "s", "a")], "doc_key string, doc_ord long, page_content string, source string, title string")
+    kb.upsert_jsonl(docs, path)
+    os.rename(path, path + ".old-1")
+    kb.recover(spark, path)
+    assert kb.read_jsonl(spark, path).count() == 1
+
+
+def test_step_depths_of_long_chains_and_cycles(spark):
+    rows = [(str(i), str(i - 1) if i else None) for i in range(300)] + [("x", "y"), ("y", "x"), ("z", "gone")]
+    got = {r.id: (r.root, r.depth) for r in chatstore.step_depths(spark.createDataFrame(rows, "id string, parentId string")).collect()}
+    assert got == {str(i): ("0", i) for i in range(300)}
+
+
+def test_vector_table_keeps_its_layout(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    kb.VectorTable(spark, path, 2, "cosine").add(spark.createDataFrame([("a", [1.0, 2.0], {})], kb.VectorTable.SCHEMA))
+    again = kb.VectorTable(spark, path, metric="cosine")
+    assert again.dimension == 2 and again.rows().count() == 1
+    for args in ((3, "cosine"), (2, "dot")):
+        with pytest.raises(ValueError):
+            kb.VectorTable(spark, path, *args)
+    with pytest.raises(Exception, match="not 2 numbers"):
+        again.add(spark.createDataFrame([("b", [1.0], {})], kb.VectorTable.SCHEMA))
