@@ -110,7 +110,7 @@ SELECT row_number() OVER (ORDER BY first) AS place, last.source AS source, last.
   SELECT min({'b': doc_id % 2, 'o': doc_id}) AS first, max({'b': doc_id % 2, 'o': doc_id, 'source': source, 'title': 't' || doc_id % 700, 'text': text}) AS last
   FROM documents GROUP BY source || '-t' || doc_id % 700)""",
     "mmr": f"""
-WITH RECURSIVE q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+WITH RECURSIVE q AS (SELECT list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) + 0.5 * CAST(x[2] AS DOUBLE)) AS embedding FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id = 1),
 c AS (SELECT e.vec_id, e.embedding, {_dot('e.embedding', 'q.embedding')} AS s FROM embeddings e, q ORDER BY s DESC, e.vec_id LIMIT 20),
 l AS (SELECT c.vec_id, c.s / (sqrt({_dot('c.embedding', 'c.embedding')}) * sqrt({_dot('q.embedding', 'q.embedding')})) AS near FROM c, q),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_dot('a.embedding', 'b.embedding')} / (sqrt({_dot('a.embedding', 'a.embedding')}) * sqrt({_dot('b.embedding', 'b.embedding')})) AS s FROM c a, c b),

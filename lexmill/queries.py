@@ -262,6 +262,11 @@ def _vector(spark, d, vec_id: int) -> list[float]:
     return table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first().embedding
 
 
+def _between(spark, d, vec_id: int) -> list[float]:
+    """A query vector that is no row's own: re-ranking by a row of the table has ties after the first."""
+    return [a + 0.5 * b for a, b in zip(_vector(spark, d, vec_id), _vector(spark, d, vec_id + 1), strict=True)]
+
+
 @query
 def knn_dot(spark, d):
     return vector.nearest(table(spark, d, "embeddings"), _vector(spark, d, 0)).select("vec_id", F.round("similarity", 6).alias("similarity"))
@@ -281,7 +286,7 @@ def knn_batch(spark, d):
 
 @query
 def mmr(spark, d):
-    return vector.mmr_search(table(spark, d, "embeddings"), _vector(spark, d, 0)).select(F.col("rank").cast("long").alias("rank"), "vec_id")
+    return vector.mmr_search(table(spark, d, "embeddings"), _between(spark, d, 0)).select(F.col("rank").cast("long").alias("rank"), "vec_id")
 
 
 def _bm25(variant: str, lower: bool):
@@ -308,7 +313,7 @@ def bm25_lengths(spark, d):
 
 def _legs(spark, d):
     c = corpus(spark, d)
-    near = vector.mmr_batch(table(spark, d, "embeddings"), [(q, _vector(spark, d, q)) for q, _ in ASKED])
+    near = vector.mmr_batch(table(spark, d, "embeddings"), [(q, _between(spark, d, q)) for q, _ in ASKED])
     return [fuzzy.FuzzyRetriever().search(ASKED, c), near.withColumnRenamed("vec_id", "doc_ord")]
 
 
