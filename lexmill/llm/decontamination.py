@@ -6,24 +6,29 @@ verbatim match and where that lies. A match as long as the item's window (WINDOW
 whole of a shorter item) marks the words of every occurrence. Words that no benchmark item has
 next to each other end every match, so a shard's array holds only the runs between them.
 
-The benchmark is taken in blocks of BLOCK_BYTES, one pass over the documents for each; documents
-never leave their partition, so there is no shuffle.
+The benchmark is stored in blocks of BLOCK_BYTES in the shared folder, which workers hold one at a time; the
+documents are read once and never leave their partition, so there is no shuffle. Words are compared by 64-bit
+hashes of their own.
 
 Defined cases: a null or wordless text has no words and is clean; a null or wordless item has no
 window; items that share an item_id count once, a null item_id as "null"; rows that repeat give a
 row each; empty tables give an empty or a clean result; other columns pass through unread (names
-beginning with _contam_ are taken).
+beginning with _contam_ must be free: a clash is an error before any work); a text is held whole in memory, with
+some ten times its bytes beside it.
 """
 
 from __future__ import annotations
 
+import pickle
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm import shared, tokens
+from lexmill.llm import arrays, shared, tokens
 
 WINDOW = 13
 #: A document is contaminated when hits make up at least one in SHARE of its words.
@@ -193,50 +198,55 @@ def _runs(mask: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
-def _mark(part: pa.RecordBatch, text_at: int, block: Block, had) -> list[pa.Array]:
+def _mark(part: pa.RecordBatch, text_at: int, found) -> list[pa.Array]:
+    """Counts, spans and items of each document, by all blocks of found, one at a time."""
     data, offs = shared.text_buffers(part.column(text_at))
     w = tokens.words(data, offs, tokens.WORDS)
     n_docs = part.num_rows
     items: list[set] = [set() for _ in range(n_docs)]
     hit = np.zeros(len(w.hash), bool)
     first = w.first
-    if len(w.hash) and len(block.start):
-        start, size, item = Shard(w, block).hits()
+    for block in found if len(w.hash) else ():
+        start, size, item = Shard(w, block).hits() if len(block.start) else ((), (), ())
         if len(start):
             change = np.zeros(len(hit) + 1, np.int64)
             np.add.at(change, start, 1)
             np.add.at(change, start + size, -1)
-            hit = np.cumsum(change[:-1]) > 0
+            hit |= np.cumsum(change[:-1]) > 0
             for code in np.unique(w.doc[start] * len(block.names) + item):
                 items[int(code) // len(block.names)].add(block.names[int(code) % len(block.names)])
-    if had is not None:
-        for d, (spans, names) in enumerate(zip(*had, strict=True)):
-            for a, z in zip(spans[::2], spans[1::2], strict=True):
-                hit[first[d] + a : first[d] + z] = True
-            items[d].update(names)
     n_hit = np.bincount(w.doc[hit], minlength=n_docs) if len(hit) else np.zeros(n_docs, np.int64)
     spans = [(_runs(hit[first[d] : first[d + 1]]).reshape(-1).tolist() if n_hit[d] else []) for d in range(n_docs)]
     columns = [w.counts, n_hit, spans, [sorted(x) for x in items]]
     return [pa.array(x, t) for x, t in zip(columns, _ARROW, strict=True)]
 
 
+@lru_cache(maxsize=2)
+def _stored_block(folder: str, k: int) -> Block:
+    return pickle.loads(arrays.load(folder, f"block-{k}.npy").tobytes())
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, most_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with _contam_words, _contam_hit, _contam_spans (word positions, start and end in turn) and _contam_items."""
     names = docs.columns
+    if clash := [n for n in names if n.lower() in {x for x, _ in _STATE}]:
+        raise ValueError(f"columns {clash} are taken")
     text_at = names.index(text)
     schema = T.StructType(docs.schema.fields + [T.StructField(n, t) for n, t in _STATE])
-    out = docs
-    for turn, block in enumerate([*blocks(benchmark, window, most_bytes)] or [Block([], window)]):
-
-        def mark(batches, block=block, turn=turn):
-            for batch in batches:
-                for part in shared.chunks(batch, text, CHUNK_BYTES):
-                    had = [part.column(len(names) + k).to_pylist() for k in (2, 3)] if turn else None
-                    new = _mark(part, text_at, block, had)
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *new], names=[*names, *[n for n, _ in _STATE]])
-
-        out = out.mapInArrow(mark, schema)
-    return out
+    folder = shared.new_path(docs.sparkSession, "benchmark")
+    n = 0
+    for block in blocks(benchmark, window, most_bytes):
+        # One block at a time on the driver, and on the workers.
+        arrays.save(folder, f"block-{n}.npy", np.frombuffer(pickle.dumps(block), np.uint8))
+        n += 1
+
+    def mark(batches):
+        for batch in batches:
+            for part in shared.chunks(batch, text, CHUNK_BYTES):
+                new = _mark(part, text_at, (_stored_block(folder, k) for k in range(n)))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, *[x for x, _ in _STATE]])
+
+    return docs.mapInArrow(mark, schema)
 
 
 def contaminated() -> F.Column:

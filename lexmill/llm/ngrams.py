@@ -5,7 +5,8 @@ ranges of the hash, sorted arrays of hashes with their counts; a range is merged
 array in the shared folder, and a word's number is its place in the order of all. A second pass
 maps that vocabulary into memory and counts pairs of numbers the same way, by ranges of the first
 word, which gives each context's totals on the spot; how many different words each word follows is
-summed by ranges of the second word. A pair that is frequent everywhere is one row a block, so no
+summed by ranges of the second word. A range's arrays are merged as they arrive, so a worker holds the different
+keys of a range, not what all tasks sent. A pair that is frequent everywhere is one row a block, so no
 range grows with how often its words occur, only with how many different ones there are.
 
 Scoring. Workers memory-map the arrays and look up each block's distinct words and pairs in sorted
@@ -14,7 +15,7 @@ for pairs, and for words the same over the number of different words they follow
 with the uniform distribution over the vocabulary and one unknown word. Documents begin after a
 start mark; the end mark is a token.
 
-Defined cases: a null text is empty and has the end mark only; without training text every
+Defined cases: a null text is empty and has the end mark only; over 4 billion different words are an error; without training text every
 probability is 1; a null doc_id counts as the text "null"; rows may repeat; an empty table gives
 an empty result; other columns are not read.
 """
@@ -31,6 +32,8 @@ from lexmill.llm import arrays, shared, tokens
 #: Bytes of input for each range of the hash: what one task merges.
 RANGE_BYTES = 8 << 20
 CHUNK_BYTES = (1 << 21) - 4096
+#: Keys that wait to be merged, at least.
+MERGE_KEYS = 1 << 20
 #: Tokens that a task counts before it hands them on.
 COUNT_TOKENS = 2_000_000
 END = np.uint64(0x51AB17E7D0C0FFEE)
@@ -80,10 +83,44 @@ def _blobs(part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordB
     )
 
 
-def _unpack(table: pa.Table, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.frombuffer(x, np.uint64) for x in table.column(start).to_pylist()]
-    counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column(start + 1).to_pylist()]
-    return _merge(keys, counts)
+class _Merged:
+    """Sorted keys and their counts, from any number of sorted arrays; what waits to be merged is no more than what is."""
+
+    def __init__(self):
+        self.keys, self.counts, self.held, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: bytes, counts: bytes) -> None:
+        self.held.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)))
+        self.size += len(self.held[-1][0])
+        if self.size > max(MERGE_KEYS, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        self.keys, self.counts = _merge([self.keys, *[k for k, _ in self.held]], [self.counts, *[c for _, c in self.held]])
+        self.held, self.size = [], 0
+        return self.keys, self.counts
+
+
+def _by_part(rows: DataFrame, finish, schema: str) -> DataFrame:
+    """finish(part, keys, counts) for each range, whose blobs are merged as they come: a range is never held as blobs."""
+
+    def run(batches):
+        part, merged = None, _Merged()
+        for batch in batches:
+            for p, keys, counts in zip(*[batch.column(k) for k in range(3)], strict=True):
+                if p.as_py() < 0:
+                    # Counts of counts, one row of them a range: handed on as they are.
+                    yield from finish(-1, np.frombuffer(keys.as_py(), np.int64), None).to_batches()
+                    continue
+                if p.as_py() != part:
+                    if part is not None:
+                        yield from finish(part, *merged.merge()).to_batches()
+                    part, merged = p.as_py(), _Merged()
+                merged.add(keys.as_py(), counts.as_py())
+        if part is not None:
+            yield from finish(part, *merged.merge()).to_batches()
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def _stats(kind: int, counts: np.ndarray) -> list[int]:
@@ -210,19 +247,18 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         if n:
             yield give()
 
-    def merge_words(key, table):
-        k, c = _unpack(table, 1)
-        p = key[0].as_py()
+    def merge_words(p, k, c):
         arrays.save(folder, f"words-{p}.npy", k)
         arrays.save(folder, f"count-{p}.npy", c)
         return _rows([[p, 0, 0, 0, 0, 0, len(k), int(c.sum())]])
 
     rows = docs.select("text")
-    found = rows.mapInArrow(count_words, _BLOB).groupBy("part").applyInArrow(merge_words, _STATS).collect()
+    found = _by_part(rows.mapInArrow(count_words, _BLOB), merge_words, _STATS).collect()
     vocabulary = Vocabulary(folder, bits, {r.kind: r.entries for r in found})
     total = sum(r.total for r in found)
     parts, start = 1 << bits, vocabulary.size
-    assert start < 1 << 32, "word numbers take 32 bits"
+    if start >= 1 << 32:
+        raise ValueError("more than 4 billion different words: numbers of 32 bits don't hold them")
 
     def range_of(number: np.ndarray) -> np.ndarray:
         return np.searchsorted(vocabulary.first[1:], number, side="right")
@@ -246,10 +282,8 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         if n:
             yield give()
 
-    def merge_pairs(key, table):
+    def merge_pairs(p, k, c):
         """Arrays of one range of first words; hands on how often each second word was found, and the counts of counts."""
-        p = key[0].as_py()
-        k, c = _unpack(table, 1)
         v = (k >> np.uint64(32)).astype(np.int64)
         low = int(vocabulary.first[p]) if p < parts else start
         width = int(vocabulary.first[p + 1]) - low if p < parts else 1
@@ -264,19 +298,17 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         extra = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([stats.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=out.schema.names)
         return pa.Table.from_batches([out, extra])
 
-    def merge_follows(key, table):
-        p = key[0].as_py()
+    def merge_follows(p, k, c):
         if p < 0:
-            return _rows([[0, *map(int, s[1:])] for s in (np.frombuffer(x, np.int64) for x in table.column(1).to_pylist())])
-        k, c = _unpack(table, 1)
+            return _rows([[0, *map(int, k[1:])]])
         low = int(vocabulary.first[p])
         dense = np.zeros(int(vocabulary.first[p + 1]) - low, np.int64)
         dense[k.astype(np.int64) - low] = c
         arrays.save(folder, f"follow-{p}.npy", dense)
         return _rows([_stats(1, dense)])
 
-    merged = rows.mapInArrow(count_pairs, _BLOB).groupBy("part").applyInArrow(merge_pairs, _BLOB)
-    stats = merged.groupBy("part").applyInArrow(merge_follows, _STATS).groupBy("kind")
+    merged = _by_part(rows.mapInArrow(count_pairs, _BLOB), merge_pairs, _BLOB)
+    stats = _by_part(merged, merge_follows, _STATS).groupBy("kind")
     stats = {r[0]: list(r) for r in stats.agg(*[F.sum(x.split()[0]).alias(x.split()[0]) for x in _STATS.split(", ")[1:]]).collect()}
     none = [0] * 8
     starts = [int(arrays.load(folder, f"context{i}-{parts}.npy")[0]) if total else 0 for i in range(4)]
