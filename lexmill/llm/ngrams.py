@@ -32,6 +32,8 @@ from lexmill.llm import arrays, shared, tokens
 #: Bytes of input for each range of the hash: what one task merges.
 RANGE_BYTES = 8 << 20
 CHUNK_BYTES = (1 << 21) - 4096
+#: From this on, Spark's estimate of a table's size says that it has none.
+UNKNOWN_BYTES = 1 << 55
 #: Keys that wait to be merged, at least.
 MERGE_KEYS = 1 << 20
 #: Tokens that a task counts before it hands them on.
@@ -194,6 +196,8 @@ class Model:
     def pair(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """p(w|v); v is the vocabulary's size for the start mark, -1 for an unknown word."""
         voc, size = self.vocabulary, self.vocabulary.size
+        if not self.total:
+            return self.word(w)
         key = np.where((v >= 0) & (w >= 0), (v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))
         names, which = np.unique(key, return_inverse=True)
         count = np.zeros(len(names), np.int64)
@@ -227,6 +231,8 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     spark = docs.sparkSession
     folder = folder or shared.new_path(spark, "ngrams")
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN_BYTES:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(3, min(20, (size // RANGE_BYTES).bit_length()))
 
     def count_words(batches):
@@ -312,11 +318,6 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     stats = {r[0]: list(r) for r in stats.agg(*[F.sum(x.split()[0]).alias(x.split()[0]) for x in _STATS.split(", ")[1:]]).collect()}
     none = [0] * 8
     starts = [int(arrays.load(folder, f"context{i}-{parts}.npy")[0]) if total else 0 for i in range(4)]
-    # Ranges without words have no pairs; lookups there need an array.
-    for p in range(parts + 1):
-        if p < parts and vocabulary.first[p] < vocabulary.first[p + 1] or p == parts and total:
-            continue
-        arrays.save(folder, f"pairs-{p}.npy", np.zeros(0, np.uint64))
     return Model(vocabulary, total, stats.get(0, none), stats.get(1, none), starts)
 
 
