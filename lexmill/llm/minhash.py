@@ -14,8 +14,9 @@ all its buckets), and with its NEAR next members in the order of their signature
 place that differs from bucket to bucket: likeness puts members side by side. Pairs that the
 signatures don't rule out are checked on the shingles themselves: similarity SIMILAR or more is a
 link. A group so costs its size, not its pairs, where its links connect it. Where they leave a bucket
-in several components, each member outside the largest is compared with all members of the others,
-in blocks of BLOCK by BLOCK, so that no pair of a bucket that could join two components goes unchecked.
+in several components, each member outside the largest is compared with the members of the others, in
+blocks of BLOCK by BLOCK: the likeliest pair of each is checked on its shingles first, which joins most
+components, then every pair that is left between two, so that none that could join them goes unchecked.
 Classes are the connected components of all links.
 
 Links within a component change nothing, so leaving them out loses no class.
@@ -161,8 +162,8 @@ def _neighbours(batches):
         bucket, ids, sig = bucket[-NEAR:], ids[-NEAR:], sig[-NEAR:]
 
 
-def _cross(batches):
-    """Pairs of different components whose signatures may mean SIMILAR, of each block's members of side 0 and of sides 1 and 2; rows come in the order of block and side."""
+def _cross(batches, best: bool):
+    """Pairs (best: for each member of side 0 the likeliest only) of different components whose signatures may mean SIMILAR, of each block's members of side 0 and of sides 1 and 2; rows come in the order of block and side."""
 
     def pairs(side, ids, root, sig, edge):
         held, n = [], 0
@@ -183,7 +184,12 @@ def _cross(batches):
 
     def agreeing(held, ids, sig):
         x, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        ok = (sig[x] == sig[y]).mean(axis=1) >= MAYBE
+        like = (sig[x] == sig[y]).mean(axis=1)
+        ok = like >= MAYBE
+        if best:
+            order = np.lexsort((-like, x))
+            first = np.concatenate(([True], x[order][1:] != x[order][:-1]))
+            ok &= np.isin(np.arange(len(x)), order[first])
         both = np.unique(np.sort(np.stack((ids[x[ok]], ids[y[ok]])), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
 
@@ -243,8 +249,10 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return out, members, sig
 
 
-def missed(members: DataFrame, sig: DataFrame, found: DataFrame) -> DataFrame:
-    """(u, v): all pairs that share a bucket, are in different components of the links found, and whose signatures may mean SIMILAR."""
+def missed(members: DataFrame, sig: DataFrame, found: DataFrame, best: bool) -> DataFrame:
+    """(u, v): all pairs that share a bucket, are in different components of the links found, and whose signatures may mean SIMILAR.
+
+    best: of a member outside its bucket's largest component only the likeliest in each block."""
     roots = components(found)
     # The leader has met both members of a bucket of two.
     rows = members.where("n > 2").join(roots.withColumnsRenamed({"u": "id", "v": "root"}), "id", "left")
@@ -261,7 +269,7 @@ def missed(members: DataFrame, sig: DataFrame, found: DataFrame) -> DataFrame:
     probes = rows.where(small).select("bucket", x.alias("x"), ys.alias("y"), F.lit(0).alias("side"), "id", "root", "sig")
     others = rows.select("bucket", xs.alias("x"), y.alias("y"), F.when(small, 1).otherwise(2).alias("side"), "id", "root", "sig")
     dealt = probes.unionByName(others).select(F.xxhash64("bucket", "x", "y").alias("block"), "side", "id", "root", "sig").repartition("block").sortWithinPartitions("block", "side")
-    out = shared.written(dealt.mapInArrow(_cross, "u long, v long").distinct(), "missed")
+    out = shared.written(dealt.mapInArrow(lambda batches: _cross(batches, best), "u long, v long").distinct(), "missed")
     shared.forget(rooted, roots)
     return out
 
@@ -298,9 +306,16 @@ def judged(docs: DataFrame) -> DataFrame:
     pairs, members, sig = candidates(reps)
     n_docs = signed.count()
     found = links(docs, reps, pairs, n_docs)
-    rest = missed(members, sig, found)
-    late = links(docs, reps, rest, n_docs)
-    roots = components(found.unionByName(late))
+    stale = [pairs, found]
+    # First the likeliest pairs between components, which join most of them; then all that are left between components.
+    for best in (True, False):
+        rest = missed(members, sig, found, best)
+        stale.append(rest)
+        if not rest.isEmpty():
+            late = links(docs, reps, rest, n_docs)
+            found = found.unionByName(late)
+            stale.append(late)
+    roots = components(found)
     rooted = reps.select("id", "digest", "doc_id").join(roots.withColumnsRenamed({"u": "id", "v": "root"}), "id", "left")
     rooted = shared.written(rooted.select("digest", "doc_id", F.coalesce("root", "id").alias("root")), "rooted-texts")
     # Classes of one text need no second look.
@@ -310,7 +325,7 @@ def judged(docs: DataFrame) -> DataFrame:
     out = out.select("doc_id", "name", "class_id", (F.col("class_id").eqNullSafe(F.col("doc_id")) & (F.col("best") == F.col("digest"))).alias("kept"))
     alone = signed.where("doc_id IS NULL OR digest IS NULL").select("doc_id", "name", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     out = shared.written(out.unionByName(alone), "judged")
-    shared.forget(signed, reps, pairs, members, sig, found, rest, late, roots, rooted, texts)
+    shared.forget(signed, reps, members, sig, *stale, roots, rooted, texts)
     return out
 
 
