@@ -165,7 +165,7 @@ def _neighbours(batches):
 def _cross(batches, best: bool):
     """Pairs (best: for each member of side 0 the likeliest only) of different components whose signatures may mean SIMILAR, of each block's members of side 0 and of sides 1 and 2; rows come in the order of block and side."""
 
-    def pairs(side, ids, root, sig, edge):
+    def pairs(side, ids, root, sig, strips, buckets, edge):
         held, n = [], 0
         for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             k = a + int(np.searchsorted(side[a:z], 1))
@@ -177,25 +177,35 @@ def _cross(batches, best: bool):
                 held.append((x + r, y + k))
                 n += len(x)
                 if n >= AT_ONCE:
-                    yield agreeing(held, ids, sig)
+                    yield agreeing(held, ids, sig, strips, buckets[a])
                     held, n = [], 0
-        if n:
-            yield agreeing(held, ids, sig)
+            if n:
+                yield agreeing(held, ids, sig, strips, buckets[a])
+                held, n = [], 0
 
-    def agreeing(held, ids, sig):
+    def agreeing(held, ids, sig, strips, bucket):
         x, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        like = (sig[x] == sig[y]).mean(axis=1)
-        ok = like >= MAYBE
+        same = sig[x] == sig[y]
+        like = same.mean(axis=1)
+        # A pair counts in the first bucket that it shares only: that of its first equal band.
+        band = int(np.flatnonzero(band_keys(sig[x[:1]])[0] == bucket)[0])
+        shared_ = same[:, : BANDS * ROWS].reshape(len(x), BANDS, ROWS).all(axis=2)
+        ok = (like >= MAYBE) & (shared_.argmax(axis=1) == band)
         if best:
             order = np.lexsort((-like, x))
-            first = np.concatenate(([True], x[order][1:] != x[order][:-1]))
-            ok &= np.isin(np.arange(len(x)), order[first])
-        both = np.unique(np.sort(np.stack((ids[x[ok]], ids[y[ok]])), axis=0), axis=1)
+            order = order[ok[order]]
+            ok = np.zeros(len(x), bool)
+            ok[order[np.concatenate(([True], x[order][1:] != x[order][:-1]))] if len(order) else order] = True
+        else:
+            k = np.flatnonzero(ok)
+            ok[k] = [_similar(np.frombuffer(strips[i], np.uint64), np.frombuffer(strips[j], np.uint64)) for i, j in zip(x[k].tolist(), y[k].tolist(), strict=True)]
+        both = np.sort(np.stack((ids[x[ok]], ids[y[ok]])), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
 
-    rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, K), np.uint32)]
+    rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, K), np.uint32), np.zeros(0, object), np.zeros(0, np.int64)]
     for batch in batches:
         new = [batch.column(k).to_numpy() for k in range(4)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, K)]
+        new += [np.array([*batch.column(5).to_pylist(), None], object)[:-1], batch.column(6).to_numpy()]
         block, *rows = (np.concatenate(x) for x in zip(rest, new, strict=True))
         edge = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1)) if len(block) else np.zeros(1, np.int64)
         yield from pairs(*rows, edge)
@@ -216,14 +226,18 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_names(w), pa.string()), pa.array(blobs, pa.binary())], names=["doc_id", "digest", "strips"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets of strips are SIMILAR."""
+    at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+    both = int((y[at] == x).sum()) if len(y) else 0
+    return both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0]
+
+
 def _check(batches):
     for batch in batches:
         keep = []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
-            at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-            both = int((y[at] == x).sum()) if len(y) else 0
-            keep.append(both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0])
+            keep.append(_similar(*(np.frombuffer(s.as_py(), np.uint64) for s in (a, b))))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -249,10 +263,11 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return out, members, sig
 
 
-def missed(members: DataFrame, sig: DataFrame, found: DataFrame, best: bool) -> DataFrame:
-    """(u, v): all pairs that share a bucket, are in different components of the links found, and whose signatures may mean SIMILAR.
+def missed(docs: DataFrame, reps: DataFrame, members: DataFrame, sig: DataFrame, found: DataFrame, n_docs: int, best: bool) -> DataFrame:
+    """(u, v): pairs that share a bucket, are in different components of the links found, and whose signatures may mean SIMILAR.
 
-    best: of a member outside its bucket's largest component only the likeliest in each block."""
+    best: of a member outside its bucket's largest component the likeliest in each block. Else all that are
+    SIMILAR by their shingles, which go to the blocks with the members: no pair leaves a block that isn't a link."""
     roots = components(found)
     # The leader has met both members of a bucket of two.
     rows = members.where("n > 2").join(roots.withColumnsRenamed({"u": "id", "v": "root"}), "id", "left")
@@ -261,14 +276,20 @@ def missed(members: DataFrame, sig: DataFrame, found: DataFrame, best: bool) ->
     parts = parts.groupBy("bucket").agg(F.sum("size").alias("n"), F.max(F.struct("size", "root")).alias("most")).where("n > most.size")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     parts = parts.select("bucket", F.col("most.root").alias("most"), blocks(F.col("n") - F.col("most.size")).alias("few"), blocks(F.col("n")).alias("all"))
-    rows = rooted.join(parts, "bucket").join(sig, "id")
+    rows = rooted.join(parts, "bucket")
+    if best:
+        rows = rows.withColumn("strips", F.lit(None).cast("binary"))
+    else:
+        sets = _strips(docs, reps, shared.written(rows.select("id").distinct(), "split"), n_docs)
+        rows = rows.join(sets, "id")
+    rows = rows.join(sig, "id")
     small = F.col("root") != F.col("most")
     place = F.xxhash64("id", "bucket")
     x, y = (F.pmod(place, F.col(k)).cast("int") for k in ("few", "all"))
     xs, ys = (F.explode(F.sequence(F.lit(0), F.col(k) - 1)) for k in ("few", "all"))
-    probes = rows.where(small).select("bucket", x.alias("x"), ys.alias("y"), F.lit(0).alias("side"), "id", "root", "sig")
-    others = rows.select("bucket", xs.alias("x"), y.alias("y"), F.when(small, 1).otherwise(2).alias("side"), "id", "root", "sig")
-    dealt = probes.unionByName(others).select(F.xxhash64("bucket", "x", "y").alias("block"), "side", "id", "root", "sig").repartition("block").sortWithinPartitions("block", "side")
+    probes = rows.where(small).select("bucket", x.alias("x"), ys.alias("y"), F.lit(0).alias("side"), "id", "root", "sig", "strips")
+    others = rows.select("bucket", xs.alias("x"), y.alias("y"), F.when(small, 1).otherwise(2).alias("side"), "id", "root", "sig", "strips")
+    dealt = probes.unionByName(others).select(F.xxhash64("bucket", "x", "y").alias("block"), "side", "id", "root", "sig", "strips", "bucket").repartition("block").sortWithinPartitions("block", "side")
     out = shared.written(dealt.mapInArrow(lambda batches: _cross(batches, best), "u long, v long").distinct(), "missed")
     shared.forget(rooted, roots)
     return out
@@ -278,18 +299,20 @@ def links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n_docs: int) -> Da
     """The pairs (of representatives' numbers) whose shingles, not only their signatures, are SIMILAR.
 
     Texts are read again, not shuffled; of those that are not asked for, most are filtered out, and the rest find no pair."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    need = shared.written(reps.select("id", "doc_id", "digest").join(asked, "id"), "asked")
-    rows = shared.likely_among(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), "doc_id", need.select("doc_id"), n_docs)
-    sets = rows.mapInArrow(_sets, f"doc_id {_type(docs)}, digest string, strips binary")
-    sets = shared.written(sets.join(need, ["doc_id", "digest"]).select("id", "strips"), "strips")
-    once = sets.dropDuplicates(["id"])
+    once = _strips(docs, reps, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), n_docs)
     both = pairs.join(once.withColumnsRenamed({"id": "u", "strips": "a"}), "u").join(once.withColumnsRenamed({"id": "v", "strips": "b"}), "v")
     out = shared.written(both.select("u", "v", "a", "b").mapInArrow(_check, "u long, v long"), "links")
-    shared.forget(sets, need)
     return out
 
 
+def _strips(docs: DataFrame, reps: DataFrame, asked: DataFrame, n_docs: int) -> DataFrame:
+    """id, strips of the representatives asked for (column id), one row for each."""
+    need = shared.written(reps.select("id", "doc_id", "digest").join(asked, "id"), "asked")
+    rows = shared.likely_among(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), "doc_id", need.select("doc_id"), n_docs)
+    sets = rows.mapInArrow(_sets, f"doc_id {_type(docs)}, digest string, strips binary")
+    return shared.written(sets.join(need, ["doc_id", "digest"]).select("id", "strips"), "strips").dropDuplicates(["id"])
+
+
 def _type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
@@ -309,12 +332,12 @@ def judged(docs: DataFrame) -> DataFrame:
     stale = [pairs, found]
     # First the likeliest pairs between components, which join most of them; then all that are left between components.
     for best in (True, False):
-        rest = missed(members, sig, found, best)
-        stale.append(rest)
-        if not rest.isEmpty():
-            late = links(docs, reps, rest, n_docs)
-            found = found.unionByName(late)
-            stale.append(late)
+        more = missed(docs, reps, members, sig, found, n_docs, best)
+        stale.append(more)
+        if best and not more.isEmpty():
+            more = links(docs, reps, more, n_docs)
+            stale.append(more)
+        found = found.unionByName(more)
     roots = components(found)
     rooted = reps.select("id", "digest", "doc_id").join(roots.withColumnsRenamed({"u": "id", "v": "root"}), "id", "left")
     rooted = shared.written(rooted.select("digest", "doc_id", F.coalesce("root", "id").alias("root")), "rooted-texts")
