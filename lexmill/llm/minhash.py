@@ -263,12 +263,11 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return out, members, sig
 
 
-def missed(docs: DataFrame, reps: DataFrame, members: DataFrame, sig: DataFrame, found: DataFrame, n_docs: int, best: bool) -> DataFrame:
-    """(u, v): pairs that share a bucket, are in different components of the links found, and whose signatures may mean SIMILAR.
+def missed(docs: DataFrame, reps: DataFrame, members: DataFrame, sig: DataFrame, roots: DataFrame, n_docs: int, best: bool) -> DataFrame:
+    """(u, v): pairs that share a bucket, are in different components (roots: those of the links found), and whose signatures may mean SIMILAR.
 
     best: of a member outside its bucket's largest component the likeliest in each block. Else all that are
     SIMILAR by their shingles, which go to the blocks with the members: no pair leaves a block that isn't a link."""
-    roots = components(found)
     # The leader has met both members of a bucket of two.
     rows = members.where("n > 2").join(roots.withColumnsRenamed({"u": "id", "v": "root"}), "id", "left")
     rooted = shared.written(rows.select("bucket", "id", F.coalesce("root", "id").alias("root")), "rooted")
@@ -291,7 +290,7 @@ def missed(docs: DataFrame, reps: DataFrame, members: DataFrame, sig: DataFrame,
     others = rows.select("bucket", xs.alias("x"), y.alias("y"), F.when(small, 1).otherwise(2).alias("side"), "id", "root", "sig", "strips")
     dealt = probes.unionByName(others).select(F.xxhash64("bucket", "x", "y").alias("block"), "side", "id", "root", "sig", "strips", "bucket").repartition("block").sortWithinPartitions("block", "side")
     out = shared.written(dealt.mapInArrow(lambda batches: _cross(batches, best), "u long, v long").distinct(), "missed")
-    shared.forget(rooted, roots)
+    shared.forget(rooted)
     return out
 
 
@@ -330,15 +329,19 @@ def judged(docs: DataFrame) -> DataFrame:
     n_docs = signed.count()
     found = links(docs, reps, pairs, n_docs)
     stale = [pairs, found]
+    roots = components(found)
     # First the likeliest pairs between components, which join most of them; then all that are left between components.
     for best in (True, False):
-        more = missed(docs, reps, members, sig, found, n_docs, best)
+        more = missed(docs, reps, members, sig, roots, n_docs, best)
         stale.append(more)
-        if best and not more.isEmpty():
+        if more.isEmpty():
+            continue
+        if best:
             more = links(docs, reps, more, n_docs)
             stale.append(more)
-        found = found.unionByName(more)
-    roots = components(found)
+        # The components found stand for their links.
+        stale.append(roots)
+        roots = components(roots.unionByName(more))
     rooted = reps.select("id", "digest", "doc_id").join(roots.withColumnsRenamed({"u": "id", "v": "root"}), "id", "left")
     rooted = shared.written(rooted.select("digest", "doc_id", F.coalesce("root", "id").alias("root")), "rooted-texts")
     # Classes of one text need no second look.
