@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,12 +95,13 @@ BOUNDARY = T.StructType(
 
 def page_boundaries(files: DataFrame, text: str = "text") -> DataFrame:
     """An offline rule in place of a model: each page is an article, named by its first line that is not blank."""
-    pages = files.select("*", F.posexplode(tx.pages(F.col(text))).alias("_page", "_body"))
-    lines = F.size(F.split("_body", "\n"))
-    upto = F.sum(lines).over(W.partitionBy("path").orderBy("_page").rowsBetween(W.unboundedPreceding, W.currentRow))
-    # The delimiter adds a line of its own between pages.
-    pages = pages.withColumns({"_lines": lines, "_end": (upto + F.col("_page")).cast("int")})
-    title = F.coalesce(F.try_element_at(F.filter(F.transform(F.split("_body", "\n"), F.trim), lambda x: x != ""), F.lit(1)), F.lit("Untitled"))
+    bodies = tx.pages(F.col(text))
+    # Ends are counted within the row, so rows of one path don't meet; the delimiter adds a line of its own between pages.
+    ends = F.aggregate(bodies, F.array().cast("array<int>"), lambda done, body: F.array_append(done, F.coalesce(F.try_element_at(done, F.lit(-1)) + 1, F.lit(0)) + F.size(F.split(body, "\n"))))
+    pages = files.select("*", F.posexplode(F.arrays_zip(bodies.alias("_body"), ends.alias("_end"))).alias("_page", "_at"))
+    pages = pages.withColumns({"_body": F.col("_at._body"), "_end": F.col("_at._end")}).withColumn("_lines", F.size(F.split("_body", "\n")))
+    # F.trim itself would take the index that transform passes for the characters to trim.
+    title = F.coalesce(F.try_element_at(F.filter(F.transform(F.split("_body", "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1)), F.lit("Untitled"))
     made = F.struct(
         title.alias("title"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("published_date"),
         (F.col("_end") - F.col("_lines")).alias("start_line"), F.col("_end").alias("end_line"), (F.col("_page") + 1).alias("start_page"), (F.col("_page") + 1).alias("end_page"),

@@ -68,6 +68,15 @@ def test_articles_and_filters(spark):
     assert n > 1
 
 
+def test_page_titles_lose_spaces_only(spark):
+    texts = ["  calls 830 ", "007\nlast", " \n0" + tx.PAGE_END + "  " + tx.PAGE_END + "500", "", None]
+    files = spark.createDataFrame([("/in/f.txt", t) for t in texts], "path string, text string")
+    got = ingest.articles(ingest.page_boundaries(files)).collect()
+    assert sorted((r.title, r.start_page, r.start_line, r.end_line, r.page_content) for r in got) == sorted(
+        [("calls 830", 1, 0, 1, "  calls 830 "), ("007", 1, 0, 2, "007\nlast"), ("0", 1, 0, 2, " \n0"), ("Untitled", 2, 3, 4, "  "), ("500", 3, 5, 6, "500"), ("Untitled", 1, 0, 1, "")]
+    )
+
+
 def test_clean_metadata_and_diff(spark):
     raw = spark.createDataFrame([(1, None, [1]), (2, "x", None)], "id long, a string, b array<int>")
     clean = ingest.clean_metadata(raw, ["a", "b"])
