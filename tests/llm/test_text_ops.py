@@ -115,6 +115,54 @@ def test_minhash_joins_copies_of_a_source_not_in_the_table(spark):
     assert {g.doc_id: g.class_id for g in got} == brute_classes(data)
 
 
+def test_minhash_keeps_wide_tables_no_longer_than_needed(docs, monkeypatch):
+    live, wide = {}, []
+    written, forget = shared.written, shared.forget
+
+    def write(df, name):
+        out = written(df, name)
+        if name in ("links", "missed", "judged"):
+            wide.append((name, sorted(n for n, columns in live.values() if {"bands", "sig", "strips"} & set(columns))))
+        live[out.stored_at] = (name, out.columns)
+        return out
+
+    def drop(*tables):
+        for t in tables:
+            live.pop(t.stored_at)
+        forget(*tables)
+
+    monkeypatch.setattr(shared, "written", write)
+    monkeypatch.setattr(shared, "forget", drop)
+    minhash.judged(docs)
+    assert all(names == {"judged": ["signatures"], "links": ["signatures", "strips"]}.get(name, names) for name, names in wide)
+    assert all(set(names) <= {"paired", "signatures", "strips"} for _, names in wide)
+    assert {name for name, _ in live.values()} <= {"judged", "filter"}
+
+
+def test_strips_are_read_for_members_of_pairs_only(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words), " ".join([*words[:-2], "x", "y"]), " ".join(f"v{k}" for k in range(200))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = next(minhash._sign([pa.record_batch([pa.array([0, 1, 2]), pa.array(texts), pa.array([0, 0, 0])], names=["doc_id", "text", "name"])]))
+    reps = spark.createDataFrame([(i, i, d) for i, d in enumerate(signed.column(1).to_pylist())], "id long, doc_id long, digest string")
+    # All three share a bucket; only the first two have signatures that may mean a link.
+    sig = rng.integers(0, 1 << 32, (3, minhash.K)).astype(np.uint32)
+    sig[1, :110], sig[2, : minhash.ROWS] = sig[0, :110], sig[0, : minhash.ROWS]
+    bucket = int(minhash.band_keys(sig)[0, 0])
+    members = spark.createDataFrame([(bucket, i, 3) for i in range(3)], "bucket long, id long, n long")
+    sigs = spark.createDataFrame([(i, bytearray(g.tobytes())) for i, g in enumerate(sig)], "id long, sig binary")
+    asked, strips = [], minhash._strips
+
+    def read(docs, reps, ids, n_docs):
+        asked.extend(r.id for r in ids.collect())
+        return strips(docs, reps, ids, n_docs)
+
+    monkeypatch.setattr(minhash, "_strips", read)
+    found = minhash.missed(docs, reps, members, sigs, spark.createDataFrame([], "u long, v long"), 3, False)
+    assert [tuple(r) for r in found.collect()] == [(0, 1)] and sorted(asked) == [0, 1]
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(4)
     common = rng.integers(0, 1 << 62, 300).astype(np.uint64)
